@@ -13,7 +13,9 @@ space or inside a run of other characters); 2 and 3, one and two letters of a co
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +26,9 @@ from pyspark.sql import types as T
 
 LETTER, NUMBER, OTHER, WHITE, SPACE = range(5)
 #: Code points that one vectorised step handles, unless a single document is longer.
-STEP = 1 << 20
+STEP = 1 << 19
 #: Distinct slices that a worker's merge cache holds before it is emptied.
-CACHE = 1 << 19
+CACHE = 200_000
 #: Slices of up to so many bytes are merged all at once; longer ones one by one, with a heap.
 WIDE = 48
 NONE = 1 << 40
@@ -40,8 +42,8 @@ def _pack(f: list[int]) -> int:
 _PLAIN, _BLOCK, _ONE, _TWO = _pack([0, 0, 0, 2]), _pack([1, 1, 0, 2]), _pack([2, 1, 0, 2]), _pack([3, 1, 0, 2])
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each code point, the composition table (first, then second), and the constant form of each function.
+def _classes() -> np.ndarray:
+    """Class of each code point.
 
     The classes follow the Unicode version of the tiktoken library, which is asked once for each property.
     """
@@ -52,6 +54,11 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         classes[np.frombuffer(bytes(single.encode_ordinary(every)).decode().encode("utf-32-le"), np.uint32)] = kind
     classes[list(_WHITE)] = WHITE
     classes[0x20] = SPACE
+    return classes
+
+
+def _composition(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The classes, the composition table (first, then second), and the constant form of each function."""
     codes = np.arange(256)
     at = np.stack([codes >> 2 * s & 3 for s in range(4)], axis=1)  # at[f, s]
     compose = sum((at[:, at[:, s]].T << 2 * s for s in range(4))).astype(np.uint8)  # compose[a, b]: b after a
@@ -64,7 +71,7 @@ _cached: dict = {}
 
 def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if "tables" not in _cached:
-        _cached["tables"] = _tables()
+        _cached["tables"] = _composition(_classes())
     return _cached["tables"]
 
 
@@ -329,9 +336,12 @@ def _binary(blob: bytes, sizes: np.ndarray) -> pa.Array:
 
 
 def _vocabulary(held) -> Vocabulary:
-    key = ("vocabulary", held.id if hasattr(held, "id") else id(held))
+    """The vocabulary of a broadcast, made once in each worker; the classes of code points come with it."""
+    raw, packed = held.value
+    key = "vocabulary", hashlib.md5(raw).digest()
     if key not in _cached:
-        _cached[key] = Vocabulary(held.value)
+        _cached.setdefault("tables", _composition(np.frombuffer(zlib.decompress(packed), np.uint8)))
+        _cached[key] = Vocabulary(raw)
     return _cached[key]
 
 
@@ -341,19 +351,27 @@ def load_ranks(spark: SparkSession, path: str):
         raw = f.read((64 << 20) + 1)
     if len(raw) > 64 << 20:
         raise ValueError("the rank file is larger than 64 MB")
-    return spark.sparkContext.broadcast(raw)
+    return spark.sparkContext.broadcast((raw, zlib.compress(tables()[0].tobytes())))
+
+
+def _decoded(vocabulary: Vocabulary, blob: bytes, counts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The bytes of each document's ids, and the end of each id's bytes in its document."""
+    plain, ends = vocabulary.decode(np.frombuffer(blob, "<u4"))
+    at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+    return _binary(plain, np.diff(at)), ends - np.repeat(at[:-1], counts)
 
 
-def encode(df: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens") -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens", decoded: str | None = None) -> DataFrame:
     """df with `ids` (binary: little-endian unsigned 32-bit ids of the whole text) and `n_tokens`, in place of `text`.
 
-    Null and empty text: empty ids, 0 tokens. Columns of df that are called like the two outputs are replaced. Rows
+    decoded: a further column, for the bytes to which the ids decode, made in the same pass over the text. Null and empty text: empty ids, 0 tokens. Columns of df that are called like the two outputs are replaced. Rows
     are independent: repeated rows give equal results, an empty table an empty one, and a very long text is handled as one slice
     sequence in O(n log n). No shuffle.
     """
     held = load_ranks(df.sparkSession, ranks_path)
-    keep = [c for c in df.columns if c not in (text, ids, n_tokens)]
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(ids, T.BinaryType()), T.StructField(n_tokens, T.LongType())])
+    keep = [c for c in df.columns if c not in (text, ids, n_tokens, decoded)]
+    names = [*keep, ids, n_tokens] + ([decoded] if decoded else [])
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(ids, T.BinaryType()), T.StructField(n_tokens, T.LongType())] + [T.StructField(decoded, T.BinaryType())] * bool(decoded))
 
     def run(batches):
         vocabulary = _vocabulary(held)
@@ -361,7 +379,10 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids",
             for i, j, data, sizes in _steps(batch.column(len(keep))):
                 blob, counts = encode_batch(vocabulary, data, sizes)
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(keep))] + [_binary(blob, counts * 4), pa.array(counts)], names=[*keep, ids, n_tokens])
+                new = [_binary(blob, counts * 4), pa.array(counts)]
+                if decoded:
+                    new.append(_decoded(vocabulary, blob, counts)[0])
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(keep))] + new, names=names)
 
     return df.select(*keep, text).mapInArrow(run, schema)
 
@@ -380,12 +401,9 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "dec
         vocabulary = _vocabulary(held)
         for batch in batches:
             for i, j, data, sizes in _steps(batch.column(len(keep))):
-                blob, ends = vocabulary.decode(np.frombuffer(data, "<u4"))
-                at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes // 4)])]
                 part = batch.slice(i, j - i)
-                new = [_binary(blob, np.diff(at))]
-                if offsets:
-                    new.append(_binary((ends - np.repeat(at[:-1], sizes // 4)).astype("<i8").tobytes(), sizes * 2))
+                plain, ends = _decoded(vocabulary, data, sizes // 4)
+                new = [plain] + ([_binary(ends.astype("<i8").tobytes(), sizes * 2)] if offsets else [])
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(keep))] + new, names=[*keep, *extra])
 
     return df.select(*keep, df[ids].alias("__ids")).mapInArrow(run, schema)
