@@ -1,17 +1,67 @@
-"""A corpus pipeline of five stages; each stage's output is written as Parquet and read again as the next one's input."""
+"""A corpus pipeline of five stages over documents (doc_id, text, lang, source, n_chars).
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; run() writes each stage's output as
+Parquet in the shared folder and reads it again. A doc_id names one document; rows without one are rejected by the first stage.
+Empty documents give an empty result.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkgrove.llm import bpe, minhash, mixing, quality, secrets
+from sparkgrove.llm.common import cut, table
+
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rules nor the risk-controlled cutoffs reject."""
+    rated = quality.rate(docs, table(spark, sf_dir, "labels"), carry=docs.columns)
+    return rated.where(F.col("kept") & F.col("doc_id").isNotNull()).select("row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each class of near-duplicates."""
+    classes = minhash.near_duplicates(docs.select("doc_id", "text"))
+    first = classes.where("is_first").select("doc_id")
+    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+
 
-STAGES: list = []
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, every secret in the text replaced by a mark; n_chars follows the text."""
+    clean = secrets.redact(secrets.find_secrets(docs, spans="__spans"), spans="__spans")
+    return clean.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    copies = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
+    return docs.join(copies, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, ids (packed), n_tokens, and whether decoding the ids gives the text again."""
+    out = bpe.encode(docs.select("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "text"), public_tokenizers.path(RANKS), decoded="decoded")
+    return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_dedup),
+    ("secret scans", secret_scan),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", encode),
+]
+
+#: No SQL: consistent weighted sampling, guess costs, the cube method and BPE are beyond it; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sparkgrove.llm.common import cut
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):

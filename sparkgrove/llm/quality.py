@@ -141,12 +141,12 @@ def judge(rated: DataFrame, chosen: DataFrame, stratum: str = "stratum") -> Data
 
 
 def rate(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", carry: list[str] | None = None) -> DataFrame:
-    """Features, base_failed and kept of every row of df, with the columns `carry` (default: the key).
+    """key, features, stratum, base_failed and kept of every row of df; carry: columns that come along in a struct `row`.
 
     Null strata form a stratum of their own; an empty labels table certifies nothing, so only the base rules reject. Repeated
     keys are judged row by row. The features are computed once and cut in the shared folder, as thresholds need them first.
     """
-    carry = carry or [key]
-    rated = df.select(*carry, *([key] if key not in carry else []), F.coalesce(F.concat(F.lit("="), F.col(stratum)), F.lit("null")).alias("stratum"), *[c.alias(n) for n, c in features(F.col(text)).items()])
+    row = [F.struct(*[df[c] for c in carry]).alias("row")] if carry else []
+    rated = df.select(F.col(key), *row, F.coalesce(F.concat(F.lit("="), F.col(stratum)), F.lit("null")).alias("stratum"), *[c.alias(n) for n, c in features(F.col(text)).items()])
     rated = cut(rated)
     return judge(rated, cutoffs(rated, labels, key))
