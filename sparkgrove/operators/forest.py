@@ -23,6 +23,8 @@ from ..sources.topology import Topology
 #: Transform rows of a topology that are broadcast at most; a larger table is joined by shuffle.
 MAX_BROADCAST_ROWS = 1_000_000
 Predicate = Callable[[DataFrame], Column]
+#: Levels of recursive refinement that run as one pipeline before the rows are written.
+STEPS = 4
 
 
 def key_names(dim: int) -> list[str]:
@@ -113,14 +115,26 @@ class Forest:
             marked = self.leaves.withColumn("__go", keep(self.leaves))
             out = marked.where(~F.col("__go")).drop("__go").unionByName(made(marked.where("__go").drop("__go")))
             return self.changed(out)
-        settled, open_ = [], self.leaves
+        # settled rows pass through, open ones explode into their children: STEPS levels in one pipeline without a shuffle
+        frame, did = self.leaves.withColumn("__open", F.lit(True)), False
         while True:
-            marked = cut(open_.withColumn("__go", keep(open_)))
-            settled.append(marked.where(~F.col("__go")).drop("__go"))
-            open_ = made(marked.where("__go").drop("__go"))
-            if marked.where("__go").isEmpty():
-                break
-        return self.changed(functools.reduce(DataFrame.unionByName, settled), len(settled) > 1)
+            for _ in range(STEPS):
+                frame = self._step(frame, keep, replace_payload or {})
+            frame = cut(frame.withColumn("__go", F.col("__open") & keep(frame)))
+            seen = frame.agg(F.bool_or("__go"), F.bool_or("__made") if "__made" in frame.columns else F.lit(False)).first()
+            did = did or bool(seen[1])
+            frame = frame.drop("__go", "__made")
+            if not seen[0]:
+                return self.changed(frame.drop("__open"), did)
+
+    def _step(self, frame: DataFrame, keep: Predicate, fresh: dict[str, Column]) -> DataFrame:
+        """One level of recursive refinement: open rows that the predicate holds for are replaced by their children."""
+        made = F.col("__made") if "__made" in frame.columns else F.lit(False)
+        frame = frame.withColumn("__made", made).withColumn("__go", F.col("__open") & keep(frame))
+        q = Q.cell(self.dim)
+        one = frame.select("*", F.explode(F.when(F.col("__go"), Q.children(q)).otherwise(F.array(Q.packed(q)))).alias("__q"))
+        cells = one.select("tree", *[F.col("__q")[c].alias(c) for c in self.keys[1:]], *self.payload, F.col("__go").alias("__open"), (F.col("__made") | F.col("__go")).alias("__made"))
+        return cells.withColumns({p: F.when(F.col("__open"), c).otherwise(F.col(p)) for p, c in fresh.items()}) if fresh else cells
 
     def coarsen(self, where: Predicate, recursive: bool = False, orphans: bool = False, replace_payload: dict[str, Column] | None = None) -> Forest:
         """Complete families whose parent satisfies the predicate become that parent.

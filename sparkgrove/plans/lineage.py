@@ -53,3 +53,29 @@ def ranked(df: DataFrame, keys: list, name: str = "gid", weight: str | None = No
         inside = F.sum(weight).over(Window.partitionBy("__pid").orderBy("__idx").rowsBetween(Window.unboundedPreceding, 0))
         out = out.withColumn(f"{name}_weight", F.col("__woff") + inside)
     return out.drop("__pid", "__mid", "__idx", "__off", "__woff")
+
+
+def filled(df: DataFrame, keys: list, column: str, name: str, forward: bool = True) -> DataFrame:
+    """df with `name`: the last non-null `column` at or before each row in the order of keys (forward=False: first at or after).
+
+    The basis of as-of joins. Range partitions are filled on their own; the value that reaches into a partition comes from a
+    driver-side list with one entry per partition. Rows of equal keys share a partition, but their order is open: make keys unique.
+    """
+    from pyspark.sql import Window
+
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    local = cut(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__mid", F.monotonically_increasing_id())).withColumn("__pid", F.shiftright("__mid", 33))
+    end = F.max_by(column, "__mid") if forward else F.min_by(column, "__mid")
+    ends = {r["__pid"]: r["v"] for r in local.where(F.col(column).isNotNull()).groupBy("__pid").agg(end.alias("v")).collect()}
+    pids = sorted(r[0] for r in local.select("__pid").distinct().collect())
+    rows, reach = [], None
+    for p in pids if forward else pids[::-1]:
+        rows.append((p, reach))
+        reach = ends.get(p, reach)
+    from pyspark.sql import types as T
+
+    table = spark.createDataFrame(rows, T.StructType([T.StructField("__pid", T.LongType()), T.StructField("__in", df.schema[column].dataType)]))
+    w = Window.partitionBy("__pid").orderBy("__mid")
+    near = F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) if forward else F.first(column, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    return local.join(F.broadcast(table), "__pid").withColumn(name, F.coalesce(near, "__in")).drop("__pid", "__mid", "__in")
