@@ -7,6 +7,8 @@ and arguments are checked against a schema table by joins on the argument's name
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,35 +59,59 @@ def results_of(turns: DataFrame) -> DataFrame:
     return turns.where("role = 'assistant'").select("conv_id", F.concat(F.lit("call-"), (F.col("turn") - 1).cast("string")).alias("call_id"), F.col("text").alias("content"))
 
 
+def _jumped(state: DataFrame, most: int) -> DataFrame:
+    """state (conv_id, call_id, ptr, hops, n) with every ptr moved along calls with one dependency to an anchor, a call with none or several.
+
+    Pointer jumping: chains double what they skip in each round, so a chain of `most` calls takes log2(most) rounds. Chains that lead into a
+    cycle never reach an anchor.
+    """
+    key = ["conv_id", "ptr"]
+    for _ in range(most.bit_length() + 1):
+        target = state.where("ptr is not null").select("conv_id", F.col("call_id").alias("ptr"), F.col("ptr").alias("far"), F.col("hops").alias("more"))
+        after = state.join(target, key, "left").select("conv_id", "call_id", F.coalesce("far", "ptr").alias("ptr"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), "n", F.col("far").isNotNull().alias("moved"))
+        after = cut(after)
+        if after.where("moved").isEmpty():
+            break
+        state = after.drop("moved")
+    return state
+
+
 def ordered(calls: DataFrame) -> DataFrame:
-    """calls with `depth`: 0 without dependencies in the conversation, else 1 + the largest depth of those; cycles: null.
+    """calls with `depth`: 0 without dependencies in the conversation, else 1 + the largest depth of those; in or behind cycles: null.
 
-    Kahn's algorithm by rounds: a call's depth is fixed once all calls it comes after have one. Identifiers that no call
-    of the conversation has are ignored, and so are duplicates; rounds equal the longest chain.
+    Calls with a single dependency are skipped by pointer jumping, so a long chain costs a logarithmic number of rounds. Kahn's algorithm
+    then orders the calls with several: one's depth is fixed once all it comes after have one. Identifiers that no call
+    of the conversation has are ignored, and so are duplicates. Null conversations and identifiers have depth null.
     """
     key = ["conv_id", "call_id"]
-    nodes = calls.select(*key).distinct()
-    edges = calls.select(*key, F.explode("after").alias("dep")).distinct()
-    edges = cut(edges.join(nodes.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"]))
-    fixed = cut(nodes.join(edges.select(*key).distinct(), key, "left_anti").withColumn("depth", F.lit(0)))
-    fresh, round_, levels = fixed, 0, [fixed]
-    todo = cut(edges.groupBy(*key).agg(F.count(F.lit(1)).alias("open")))
-    while True:
-        met = fresh.select("conv_id", F.col("call_id").alias("dep")).join(edges, ["conv_id", "dep"]).groupBy(*key).agg(F.count(F.lit(1)).alias("met"))
-        round_ += 1
-        left = todo.join(met, key, "left").select(*key, (F.col("open") - F.coalesce("met", F.lit(0))).alias("open"))
-        left = cut(left)
-        fresh = left.where("open = 0").select(*key, F.lit(round_).alias("depth"))
+    nodes = cut(calls.select(*key).where("conv_id is not null and call_id is not null").distinct())
+    edges = cut(calls.select(*key, F.explode("after").alias("dep")).distinct().join(nodes.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"]))
+    degree = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("dep").alias("only"))
+    one = F.col("n") == 1
+    state = cut(nodes.join(degree, key, "left").select(*key, F.when(one, F.col("only")).alias("ptr"), F.when(one, 1).otherwise(0).alias("hops"), F.coalesce("n", F.lit(0)).alias("n")))
+    longest = nodes.groupBy("conv_id").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 1
+    state = _jumped(state, longest)
+    anchor = state.where("n <> 1").select("conv_id", F.col("call_id").alias("anchor"))
+    # from a call with several dependencies to the anchor behind each of them, and how far that is
+    behind = state.select("conv_id", F.col("call_id").alias("dep"), F.coalesce("ptr", "call_id").alias("anchor"), (F.col("hops") + 1).alias("far"))
+    links = cut(edges.join(state.where("n > 1").select(*key), key).join(behind, ["conv_id", "dep"]))
+    fixed = cut(state.where("n = 0").select("conv_id", F.col("call_id").alias("anchor"), F.lit(0).alias("depth")))
+    todo = cut(links.groupBy(*key).agg(F.count(F.lit(1)).alias("open"), F.lit(0).alias("best")))
+    fresh, levels = fixed, [fixed]
+    while not todo.isEmpty():
+        met = fresh.join(links, ["conv_id", "anchor"]).groupBy(*key).agg(F.count(F.lit(1)).alias("met"), F.max(F.col("depth") + F.col("far")).alias("top"))
+        left = cut(todo.join(met, key, "left").select(*key, (F.col("open") - F.coalesce("met", F.lit(0))).alias("open"), F.greatest("best", F.coalesce("top", F.lit(0))).alias("best")))
+        fresh = left.where("open = 0").select("conv_id", F.col("call_id").alias("anchor"), F.col("best").alias("depth"))
         todo = left.where("open > 0")
         if fresh.isEmpty():
             break
         levels.append(fresh)
-        if todo.isEmpty():
-            break
-    depth = levels[0]
-    for x in levels[1:]:
-        depth = depth.unionByName(x)
-    return calls.join(depth, key, "left")
+        if len(levels) > 16:  # keeps the plan small
+            levels = [cut(functools.reduce(DataFrame.unionByName, levels))]
+    known = functools.reduce(DataFrame.unionByName, levels)
+    # a pointer that ends at a call with one dependency is caught in a cycle and finds no anchor
+    depth = state.select(*key, "hops", F.coalesce("ptr", "call_id").alias("anchor")).join(known.join(anchor, ["conv_id", "anchor"], "left_semi"), ["conv_id", "anchor"])
+    return calls.join(depth.select(*key, (F.col("depth") + F.col("hops")).cast("int").alias("depth")), key, "left")
 
 
 #: Argument schemas of the built-in call: name, argument, type, required, largest length (code points, null: any).
