@@ -151,13 +151,14 @@ class Forest:
             kids = frame.where("level > 0").groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), *([F.sort_array(F.collect_list(F.struct(cid.alias("c"), *self.payload))).alias("__kids")] if self.payload else []))
             kids = kids.where(F.col("__n") == 1 << self.dim)
             for p in self.payload:
-                kids = kids.withColumn(p, F.transform("__kids", lambda k, p=p: k[p]))
+                kids = kids.withColumn(p, F.col(f"__kids.{p}"))
             go = kids.where(F.coalesce(where(kids), F.lit(False)))
             keep = {p: (replace_payload or {}).get(p, F.get(p, 0)) for p in self.payload}
             parents = go.select(*self.keys, *[c.alias(p) for p, c in keep.items()])
-            gone = frame.withColumns({f"__{n}": c for n, c in zip(Q.axes(self.dim), up.xyz)}).withColumn("__level", F.col("level") - 1)
-            on = [gone[f"__{n}"] == parents[n] for n in self.keys[1:]] + [gone["tree"] == parents["tree"]]
-            return gone.join(parents, on, "left_anti").select(*frame.columns), parents
+            above = [c.alias(f"__{n}") for n, c in zip(self.keys, ["tree", *up.xyz, F.col("level") - 1]) if n != "tree"]
+            gone = frame.select("*", F.col("tree").alias("__tree"), *above)
+            on = [f"__{n}" for n in self.keys]
+            return gone.join(parents.select(*[F.col(n).alias(f"__{n}") for n in self.keys]), on, "left_anti").select(*frame.columns), parents
 
         if not recursive:
             rest, parents = families(self.leaves)

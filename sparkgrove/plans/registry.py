@@ -1,10 +1,7 @@
-"""Queries of the engine's own operators and the SQL they are compared with."""
+"""What the driver's entry file registers of the engine's own operators."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .queries import ORACLE, QUERIES, entry
 
-
-def entry(spark, sf_dir):
-    return next(iter(QUERIES.values()))(spark, sf_dir)
+__all__ = ["ORACLE", "QUERIES", "entry"]
