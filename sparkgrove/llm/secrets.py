@@ -39,7 +39,9 @@ _LONGEST = max(map(len, _WORDS))
 _LEET = str.maketrans("@4301$5!7", "aaeoissit"[:9])
 _ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _NEXT = {a + b for row in _ROWS for x in (row, row[::-1]) for a, b in zip(x, x[1:])} | {a + b for r, s in zip(_ROWS, _ROWS[1:]) for a, b in (*zip(r, s), *zip(s, r))}
-_DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._](?:19|20)?\d\d|(?:19|20)\d\d")
+_MONTH, _DAY = r"(?:1[0-2]|0?[1-9])", r"(?:3[01]|[12]\d|0?[1-9])"
+#: Dates and years, longest forms first; each is tried at every digit that follows none.
+_DATES = tuple(re.compile(p) for p in (rf"(?:19|20)\d\d[-/._]?{_MONTH}[-/._]?{_DAY}", rf"{_DAY}[-/._]{_MONTH}[-/._](?:(?:19|20)\d\d|\d\d)", r"(?:19|20)\d\d"))
 
 
 def guess_cost(value: str) -> float:
@@ -49,7 +51,8 @@ def guess_cost(value: str) -> float:
         return 0.0
     low = value.lower()
     plain = low.translate(_LEET)
-    dates: dict[int, int] = {m.start(): m.end() for m in _DATE.finditer(value)}
+    starts = [i for i in range(n) if value[i].isdigit() and (i == 0 or not value[i - 1].isdigit())]
+    dates = {i: {m.end() for p in _DATES if (m := p.match(value, i))} for i in starts}
     best = [0.0] + [math.inf] * n
     step = math.log10(2)  # each further segment doubles the orders to try
     runs: list[tuple[int, float, int]] = [(0, 0.0, 0)] * n  # end of a repeat, a keyboard walk and a sequence from here
@@ -75,8 +78,8 @@ def guess_cost(value: str) -> float:
         for end, width in zip(runs[i], (12.0, 40.0, 8.0)):
             if end - i >= 3:
                 best[end] = min(best[end], base + math.log10(width * (end - i)))
-        if i in dates:
-            best[dates[i]] = min(best[dates[i]], base + math.log10(365 * 120 if dates[i] - i > 4 else 120))
+        for end in dates.get(i, ()):
+            best[end] = min(best[end], base + math.log10(365 * 120 if end - i > 4 else 120))
     return best[n]
 
 
