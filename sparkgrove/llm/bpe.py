@@ -371,7 +371,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids",
     held = load_ranks(df.sparkSession, ranks_path)
     keep = [c for c in df.columns if c not in (text, ids, n_tokens, decoded)]
     names = [*keep, ids, n_tokens] + ([decoded] if decoded else [])
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(ids, T.BinaryType()), T.StructField(n_tokens, T.LongType())] + [T.StructField(decoded, T.BinaryType())] * bool(decoded))
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(ids, T.BinaryType()), T.StructField(n_tokens, T.LongType())] + ([T.StructField(decoded, T.BinaryType())] if decoded else []))
 
     def run(batches):
         vocabulary = _vocabulary(held)
