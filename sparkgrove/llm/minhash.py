@@ -5,10 +5,9 @@ document is tf * idf with idf = 1 + ln(N / df) / ln N, between 1 and 2, so the c
 shingles are frequent, still outweigh the few words in which they differ. Document frequencies are counted over all
 documents in a hashed feature space of fixed size, which bounds what is broadcast; colliding shingles share a count.
 
-Steps: equal shingle sets meet in one class by an aggregate; ICWS samples of the others form bands; every bucket links
-its members to its smallest id, at several depths of finer keys, and small buckets link all their pairs, so candidates
-stay linear in the documents; candidates are verified by exact weighted Jaccard similarity on whole texts; connected
-components of the links are the classes.
+Steps: equal shingle sets meet in one class by an aggregate; ICWS samples of the others form bands; all pairs of every
+bucket are verified by exact weighted Jaccard similarity on whole texts, each pair in the first band that it shares: as
+rows in small buckets, in salted blocks in large ones; connected components of the links are the classes.
 """
 
 from __future__ import annotations
@@ -32,8 +31,8 @@ BANDS, ROWS = 12, 3
 LEAST_AGREEMENT = 0.5
 #: Log2 of the features that document frequencies are counted in.
 FEATURES = 20
-#: Buckets of up to so many documents link all their pairs.
-SMALL = 12
+#: Buckets of up to so many documents give their pairs as rows; larger ones are compared in blocks of about so many.
+SMALL, BLOCK = 12, 1024
 _STEP = 1 << 19
 _M = 0x9E3779B97F4A7C15
 _INV = pow(_M, -1, 1 << 64)
@@ -219,69 +218,165 @@ def signatures(df: DataFrame, held, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, T.StructType([T.StructField("id", df.schema[key].dataType), *T._parse_datatype_string("d1 long, d2 long, sig binary").fields]))
 
 
-def candidates(reps: DataFrame, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
-    """Pairs a < b of ids that share a bucket: each member with the bucket's smallest id, in buckets of bands and of
-    two and four bands together, and all pairs of buckets with up to `small` members. Linear in the number of ids."""
+def _bands(sig: np.ndarray) -> np.ndarray:
+    """A hash of each band of each row of samples (documents x bands x rows)."""
+    with np.errstate(over="ignore"):
+        band = np.zeros(sig.shape[:2], np.uint64)
+        for r in range(sig.shape[2]):
+            band = mix64(band * _U(_M) + sig[:, :, r].astype(np.uint64) + _U(1))
+        return mix64(band + np.arange(sig.shape[1], dtype=np.uint64) * _U(0xA24BAED4963EE407))
+
+
+def bucketed(reps: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """id, key and band of every bucket of two members or more, and its number of members."""
 
     def explode(batches):
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, bands, rows).astype(np.uint64)
-            with np.errstate(over="ignore"):
-                band = np.zeros(sig.shape[:2], np.uint64)
-                for r in range(rows):
-                    band = mix64(band * _U(_M) + sig[:, :, r] + _U(1))
-                band += np.arange(bands, dtype=np.uint64) * _U(0xA24BAED4963EE407)
-                deep = [band, *(mix64(sum(np.roll(band, -k, axis=1) * _U(2 * k + 3) for k in range(n)) + _U(n)) for n in (2, 4))]
-            key = np.concatenate([mix64(x) for x in deep], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(key)), key.shape[1]))), pa.array(key.view(np.int64).ravel())], names=["id", "key"])
-
-    keyed = cut(reps.select("id", "sig").mapInArrow(explode, T.StructType([T.StructField("id", reps.schema["id"].dataType), T.StructField("key", T.LongType())])))
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("far"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = cut(buckets)
-    star = keyed.join(buckets.where(f"n > {small} or n = 2"), "key").select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    # a small bucket is at most `small` ids, so all its pairs are linear in its members
-    few = keyed.join(buckets.where(f"n > 2 and n <= {small}"), "key").groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("m"))
-    pairs = few.select("m", F.posexplode("m").alias("i", "a")).select("a", F.explode(F.slice("m", F.col("i") + 2, small)).alias("b"))
-    return star.where("a < b").unionByName(pairs.where("a < b")).distinct()
-
-
-def agreeing(pairs: DataFrame, reps: DataFrame, least: float = LEAST_AGREEMENT) -> DataFrame:
-    """The pairs whose samples agree in at least a share `least` of places."""
+            key = _bands(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, bands, rows))
+            at = np.repeat(np.arange(len(key)), bands)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(key.view(np.int64).ravel()), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(key)))], names=["id", "key", "band"])
+
+    shape = T.StructType([T.StructField("id", reps.schema["id"].dataType), T.StructField("key", T.LongType()), T.StructField("band", T.IntegerType())])
+    keyed = cut(reps.select("id", "sig").mapInArrow(explode, shape))
+    return cut(keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"))
+
+
+def candidates(buckets: DataFrame, small: int = SMALL) -> DataFrame:
+    """a < b, band: all pairs of every bucket of up to `small` members, so linear in the number of ids."""
+    few = buckets.where(F.col("n") <= small).groupBy("key", "band").agg(F.sort_array(F.collect_list("id")).alias("m"))
+    pairs = few.select("band", "m", F.posexplode("m").alias("i", "a"))
+    return pairs.select("a", F.explode(F.slice("m", F.col("i") + 2, small)).alias("b"), "band").where("a < b")
+
+
+def agreeing(pairs: DataFrame, reps: DataFrame, least: float = LEAST_AGREEMENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The pairs whose samples agree in at least a share `least` of places, in the first band that they share."""
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for k in (2, 3))
-            keep = pa.array((x == y).mean(axis=1) >= least)
-            yield batch.select([0, 1]).filter(keep)
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, bands, rows) for k in (3, 4))
+            same = x == y
+            keep = (same.mean(axis=(1, 2)) >= least) & (same.all(axis=2).argmax(axis=1) == batch.column(2).to_numpy())
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
     sig = reps.select("id", "sig")
-    both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    return both.mapInArrow(run, pairs.schema)
+    both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "band", "sa", "sb")
+    return both.mapInArrow(run, T.StructType(pairs.schema.fields[:2]))
 
 
-def verified(pairs: DataFrame, df: DataFrame, held, key: str, text: str, least: float = SIMILARITY) -> DataFrame:
-    """a, b, similarity of the pairs whose exact weighted Jaccard similarity is at least `least`, from whole texts.
+def common(doc: np.ndarray, h: np.ndarray, tf: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray, docs: int) -> np.ndarray:
+    """Weight that each document of `left` has in common with each of `right`: sums of minima over their shingles.
+
+    A shingle that occurs tf times is tf elements. Elements of many documents are multiplied as matrices, some columns at
+    a time; those of few are added pair by pair.
+    """
+    row, col = np.full(docs, -1), np.full(docs, -1)
+    row[left], col[right] = np.arange(len(left)), np.arange(len(right))
+    at = np.repeat(np.arange(len(h)), tf)
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(tf) - tf, tf)
+    doc, one = doc[at], (weight / tf)[at].astype(np.float64)
+    order = np.lexsort((nth, h[at]))
+    hh, nn = h[at][order], nth[order]
+    number = np.cumsum(np.concatenate([[False], (hh[1:] != hh[:-1]) | (nn[1:] != nn[:-1])]))
+    doc, one = doc[order], one[order]
+    first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(number) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate([first, [len(number)]]))
+    out = np.zeros((len(left), len(right)))
+    for e in np.flatnonzero((size > 1) & (size <= 16)).tolist():
+        d = doc[first[e] : first[e] + size[e]]
+        x, y = row[d], col[d]
+        out[np.ix_(x[x >= 0], y[y >= 0])] += one[first[e]]
+    many = np.flatnonzero(size > 16)
+    for i in range(0, len(many), 2048):
+        part = many[i : i + 2048]
+        place = np.repeat(np.arange(len(part)), size[part])
+        use = np.concatenate([np.arange(first[e], first[e] + size[e]) for e in part])
+        x, y = np.zeros((len(left), len(part))), np.zeros((len(right), len(part)))
+        r, c = row[doc[use]], col[doc[use]]
+        x[r[r >= 0], place[r >= 0]] = one[use][r >= 0]
+        y[c[c >= 0], place[c >= 0]] = 1
+        out += x @ y.T
+    return out
+
+
+def block_links(buckets: DataFrame, reps: DataFrame, df: DataFrame, held, key: str, text: str, least: float = SIMILARITY, small: int = SMALL, block: int = BLOCK, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """id, root, n from all pairs of the buckets of more than `small` members, each verified once, in its first shared band.
+
+    A bucket's members are dealt into blocks of about `block`, and every two blocks (and each with itself) meet in one
+    group, so a group's memory is bounded; the work grows with the square of a bucket. A group gives a row for each id that it links: the
+    least id that its links lead to, and the number of links. Pairs themselves never become rows.
+    """
 
-    A filter of fixed size on hashed ids keeps most texts of rows without a pair out of the shuffles.
+    def compare(table: pa.Table) -> pa.Table:
+        ids, side, sig = (table.column(c).to_pylist() for c in ("id", "side", "sig"))
+        raw = [x.encode() for x in table.column("t").to_pylist()]
+        band, within = table.column("band")[0].as_py(), table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        docs, h, tf, weight = [], [], [], []
+        for i in range(0, len(raw), 256):
+            d, x, n = counted(*shingles(b"".join(raw[i : i + 256]), np.array([len(r) for r in raw[i : i + 256]])))
+            docs, h, tf, weight = [*docs, d + i], [*h, x], [*tf, n], [*weight, _weights(held, x, n)]
+        docs, h, tf, weight = (np.concatenate(x) for x in (docs, h, tf, weight))
+        total = np.bincount(docs, weight, len(raw))
+        side = np.array(side)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if within else 1))
+        low = common(docs, h, tf, weight, left, right, len(raw))
+        link = low >= least * (total[left][:, None] + total[right][None, :] - low)
+        bucket = _bands(np.frombuffer(b"".join(sig), np.uint32).reshape(-1, bands, rows))
+        for t in range(band):
+            link &= bucket[left, t][:, None] != bucket[right, t][None, :]
+        names = sorted(set(ids))
+        number = {x: i for i, x in enumerate(names)}
+        of = np.array([number[x] for x in ids], np.int64)  # rows that repeat an id count as one
+        x, y = np.nonzero(link)
+        near = np.zeros((len(names), len(names)), bool)
+        near[of[left[x]], of[right[y]]] = True
+        near |= near.T
+        np.fill_diagonal(near, False)
+        n, root = near.sum(axis=1), np.full(len(names), -1)
+        for i in np.flatnonzero(n).tolist():
+            front = np.array([i]) if root[i] < 0 else np.zeros(0, np.int64)
+            while len(front):
+                root[front] = i
+                front = np.flatnonzero(near[front].any(axis=0) & (root < 0))
+        found = np.flatnonzero(n)
+        at = pa.array(names, table.schema.field("id").type)
+        return pa.table([at.take(pa.array(found)), at.take(pa.array(root[found])), pa.array(n[found].astype(np.int64))], names=["id", "root", "n"])
+
+    members = buckets.where(F.col("n") > small).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    whole = reps.select("id", "sig").join(members.select("id").distinct(), "id", "left_semi").join(_texts(df, members.select("id"), key, text), "id")
+    mine = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")
+    dealt = members.join(whole, "id").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("id", "sig", "t", "key", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
+    shape = T.StructType([T.StructField(c, df.schema[key].dataType) for c in ("id", "root")] + [T.StructField("n", T.LongType())])
+    return dealt.groupBy("key", "i", "j").applyInArrow(compare, shape)
+
+
+def _texts(df: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
+    """id and text (t) of the rows of df whose id is in the column of `ids`, and of some more.
+
+    A filter of fixed size on hashed ids keeps most texts of other rows out of the shuffles.
     """
     bits = 1 << 23
 
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)).cast("int")
-    ids = pairs.select(slot(F.col("a")).alias("slot")).union(pairs.select(slot(F.col("b")))).distinct()
+    ids = ids.select(slot(F.col(ids.columns[0])).alias("slot")).distinct()
     # at most `bits` slots in 256 words of bits: a bitmap of 1 MB at any size of input
     words_ = ids.groupBy((F.col("slot") / 4096).cast("int").alias("w")).agg(F.bitmap_construct_agg((F.col("slot") % 4096).cast("long")).alias("m")).collect()
     marks = np.zeros(bits // 8, np.uint8)
     for r in words_:
         marks[r["w"] * 512 : r["w"] * 512 + 512] = np.frombuffer(bytes(r["m"]), np.uint8)[:512]
-    spark = df.sparkSession
-    seen = spark.sparkContext.broadcast(np.unpackbits(marks, bitorder="little").astype(bool))
+    seen = df.sparkSession.sparkContext.broadcast(np.unpackbits(marks, bitorder="little").astype(bool))
 
     def kept(batches):
         for batch in batches:
             yield batch.select([0, 1]).filter(pa.array(seen.value[batch.column(2).to_numpy()]))
 
     texts = df.select(F.col(key).alias("id"), F.col(text).alias("t"), slot(F.col(key)).alias("slot"))
-    texts = texts.mapInArrow(kept, T.StructType([T.StructField("id", df.schema[key].dataType), T.StructField("t", T.StringType())]))
+    return texts.where("id is not null and t is not null").mapInArrow(kept, T.StructType([T.StructField("id", df.schema[key].dataType), T.StructField("t", T.StringType())]))
+
+
+def verified(pairs: DataFrame, df: DataFrame, held, key: str, text: str, least: float = SIMILARITY) -> DataFrame:
+    """a, b, similarity of the pairs whose exact weighted Jaccard similarity is at least `least`, from whole texts."""
+    texts = _texts(df, pairs.select("a").union(pairs.select("b")), key, text)
 
     def compare(batches):
         for batch in batches:
@@ -347,10 +442,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     reps = cut(reps)
     lead = sig.where("id is not null and d1 is not null").join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "sig").dropDuplicates(["id"])
     lead = cut(lead)
-    pairs = cut(agreeing(candidates(lead), lead))
+    buckets = bucketed(lead)
+    pairs = cut(agreeing(candidates(buckets), lead))
     links = cut(verified(pairs, df, held, key, text, least).dropDuplicates(["a", "b"]))
-    roots = components(links)
-    count = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    blocks = cut(block_links(buckets, lead, df, held, key, text, least))
+    roots = components(links.select("a", "b").union(blocks.where("root < id").select("root", "id").distinct()))
+    count = links.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).alias("n")).union(blocks.select("id", "n")).groupBy("id").agg(F.sum("n").alias("n_links"))
     classed = reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(count.withColumnRenamed("id", "rep"), "rep", "left")
     classed = classed.select("d1", "d2", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = sig.select("id", "d1", "d2").join(classed, ["d1", "d2"], "left").select(F.col("id").alias(key), F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -88,6 +88,30 @@ def test_near_duplicates_match_brute_force(spark):
     assert 15 < len(set(mine.values())) < 60
 
 
+def test_near_duplicates_around_a_middle_id(spark, monkeypatch):
+    """Copies near their base and not near each other, in buckets of several blocks; the base has a middle id."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(200)]
+    texts = {}
+    for k in range(160):
+        texts[k] = list(base)
+        if k != 80:
+            for at in rng.sample(range(5, 195), 2 if k % 4 else 1):
+                texts[k][at] = word()
+    texts = {k: " ".join(t) for k, t in texts.items()}
+    sure, close = brute_links(texts)
+    assert sum(80 in pair for pair in sure) > 150 and len(sure) < 160 * 159 / 2 * 0.7
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    least = {k: sum(k in pair for pair in sure) for k in texts}
+    most = {k: least[k] + sum(k in pair for pair in close) for k in texts}
+    for block in (1024, 32):
+        monkeypatch.setattr(minhash.block_links, "__defaults__", tuple(block if x == minhash.BLOCK else x for x in minhash.block_links.__defaults__))
+        got = {r["doc_id"]: r for r in minhash.near_duplicates(df).collect()}
+        assert {r["class_id"] for r in got.values()} == {0}
+        assert sum(r["n_links"] for r in got.values()) >= 0.995 * sum(least.values()) and all(got[k]["n_links"] <= most[k] for k in got)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
