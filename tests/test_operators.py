@@ -318,3 +318,15 @@ def test_adler_combination():
 
     a, b = b"some bytes" * 99, b"others" * 1234
     assert adler_combine(zlib.adler32(a), zlib.adler32(b), len(b)) == zlib.adler32(a + b)
+
+
+def test_moebius_mesh_reads_all_customers(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from sparkgrove.plans import queries
+
+    meshes = []
+    for nation in (1, 2):
+        spark.range(60).select(F.col("id").alias("c_custkey"), F.lit(nation).alias("c_nationkey")).write.parquet(f"{tmp_path}/{nation}/customer.parquet")
+        meshes.append(sorted(map(str, queries.moebius_mesh(spark, f"{tmp_path}/{nation}").collect())))
+    assert meshes[0] == meshes[1]
