@@ -19,9 +19,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 #: Maximal runs, so a length in the pattern keeps and drops the same matches as a length test afterwards.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-#: Further credential contexts, whose values the guess cost judges.
+#: Further credential contexts, also as the end of a longer name (DB_PASS), whose values the guess cost judges.
 _CONTEXT = re.compile(
-    r"""\b(?:pwd|pass|passphrase|passcode|password|passwd|secret|token|credentials?|auth|bearer|api_?key|access[_-]?key|private[_-]?key|client[_-]?secret)["']?\x20*(?::|=>?)\x20*(?:bearer\x20+)?["']?([^\s"'<>,;]{8,})""",
+    r"""(?:pwd|pass|passphrase|passcode|password|passwd|secret|token|credentials?|auth|bearer|api_?key|access[_-]?key|private[_-]?key|client[_-]?secret)["']?\x20*(?::|=>?)\x20*(?:bearer\x20+)?["']?([^\s"'<>,;]{8,})""",
     re.IGNORECASE | re.ASCII,
 )
 #: Log10 of guesses from which a value in such a context counts as a secret.
@@ -96,7 +96,7 @@ def spans_of(text: str | None, least: float = LEAST_COST) -> list[tuple[str, int
     found += [(m.start(), 1, m.end(), None) for m in _ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end(), None) for m in _HEX.finditer(text)]
     for m in _CONTEXT.finditer(text):
-        if m.start(1) not in values and (cost := guess_cost(m[1])) >= least and any(c.isdigit() for c in m[1]):
+        if m.start(1) not in values and (cost := guess_cost(m[1])) >= least:
             found.append((m.start(1), 3, m.end(1), cost))
     found.sort()
     return [(KINDS[k], s, e, cost) for s, k, e, cost in found]

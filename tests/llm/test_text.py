@@ -189,6 +189,12 @@ def test_secret_base_spans_and_redaction(spark):
     assert secrets.find_secrets(df.limit(0)).count() == 0
 
 
+def test_guess_cost_alone_decides():
+    for text, value in (("pwd: kT!xQvZ#pLmWr", "kT!xQvZ#pLmWr"), ("DB_PASS=Xk9#mQ2$vLtR", "Xk9#mQ2$vLtR"), ("MYSQL_PASSWORD=p@X9#mQ2$vLtR", "p@X9#mQ2$vLtR"), ("aws_secret_access_key = wJalrXUtnFEMI", "wJalrXUtnFEMI")):
+        assert [(k, text[s:e]) for k, s, e, _ in secrets.spans_of(text)] == [("guess", value)]
+    assert secrets.spans_of("DB_PASS=passwordpassword") == []
+
+
 def test_guess_cost_orders_values():
     cost = secrets.guess_cost
     assert cost("") == 0 and cost("password") < cost("passw0rd1987") < cost("x9Qv7Lm2Zp0R")
