@@ -21,6 +21,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\
 _ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/>"']+)""")
 #: Raw contents that are never text.
 _SKIP = {"script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "head", "title", "select", "textarea", "button", "math", "audio", "video", "map", "datalist"}
+#: Elements whose content has no tags, and what ends them.
+_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style", "title", "textarea", "iframe")}
 _INLINE = set("a abbr acronym b bdi bdo big cite code data dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr del input".split())
 _VOID = set("br img hr input meta link wbr area base col embed source track param".split())
 _BOILER = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
@@ -29,6 +31,8 @@ _MARKS = set(
     "ad ads adv advert adverts advertisement advertising adbox banner cookie cookies consent gdpr notice notices alert sidebar sidebars side aside comment comments reply replies respond disqus menu menus nav navbar navigation topnav breadcrumb breadcrumbs footer masthead "
     "promo promos promotion sponsor sponsored related recommended recommendations share sharing social subscribe subscription newsletter popup modal overlay widget widgets toolbar pagination pager login signin signup register search disclaimer copyright skip header teaser teasers trending tags".split()
 )
+#: Those that also count on an article element, which has many classes of its own.
+_ARTICLE_MARKS = set("ad advert advertisement comment comments reply replies respond promo sponsored related recommended teaser teasers".split())
 _CONTENT = {"article", "main"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -101,11 +105,13 @@ def _container(tag: str, attrs: str, in_article: bool) -> int:
             elif name in ("class", "id") and tag not in ("body", "html", "main", "article"):
                 if _MARKS.intersection(_SPLIT.split(value)):
                     return 1
+            elif name in ("class", "id") and tag == "article" and _ARTICLE_MARKS.intersection(_SPLIT.split(value)):
+                return 1
     return kind
 
 
 def blocks(page: str | None) -> list[tuple[str, float, int, int, int]]:
-    """Text, link density, in boilerplate, in an article, heading of each block in page order; blocks without words are left out."""
+    """Text, link density, in boilerplate, in an article outside boilerplate, heading of each block in page order; blocks without words are left out."""
     if not page:
         return []
     out: list = []
@@ -122,12 +128,12 @@ def blocks(page: str | None) -> list[tuple[str, float, int, int, int]]:
             words = html.unescape("".join(text)).split()
             if words:
                 chars = sum(map(len, words))
-                out.append((" ".join(words), min(1.0, linked / chars), int(level[1] > 0), int(level[2] > 0), int(heading > 0)))
+                out.append((" ".join(words), min(1.0, linked / chars), int(level[1] > 0), int(level[2] > 0 and not level[1]), int(heading > 0)))
             text.clear()
         linked = 0
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if not skip and not level[3] and m.start() > at:
             piece = page[at : m.start()]
             text.append(piece)
@@ -138,6 +144,9 @@ def blocks(page: str | None) -> list[tuple[str, float, int, int, int]]:
         if not tag:
             continue
         tag = tag.lower()
+        if not m[1] and tag in _RAW and not (m[3] or "").endswith("/"):
+            end = _RAW[tag].search(page, at)  # all up to the closing tag is raw, whatever looks like a tag
+            at = end.start() if end else len(page)
         if skip:
             if m[1] and tag == skip or skip == "head" and tag == "body":
                 skip = ""
@@ -180,14 +189,11 @@ def blocks(page: str | None) -> list[tuple[str, float, int, int, int]]:
 def main_text(page: str | None) -> str:
     """The main text: the blocks that the tree keeps, joined by one newline."""
     found = blocks(page)
-    has_article = any(b[3] for b in found)
     keep = []
     count = [len(b[0].split(" ")) for b in found]
     for i, (text, links, boiler, article, heading) in enumerate(found):
         before = (count[i - 1], found[i - 1][1]) if i else (-1, -1)
         after = (count[i + 1], found[i + 1][1]) if i + 1 < len(found) else (-1, -1)
-        if has_article and not article:
-            continue  # a page that marks its article has no main text outside
         if is_main((count[i], links, *before, *after, boiler, article, heading)):
             keep.append(text)
     return "\n".join(keep)

@@ -81,6 +81,15 @@ def test_main_text(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+def test_main_text_outside_articles_and_after_scripts():
+    para = "A paragraph of the main text with a good number of words in it, so that it is long enough to be kept as such. "
+    page = f'<body><div><p>{para * 3}</p><p>{para * 2}</p></div><article class="comment"><p>{"I liked this very much and would read more. " * 3}</p></article></body>'
+    assert html.main_text(page) == f"{(para * 3).strip()}\n{(para * 2).strip()}"
+    for where in ("<head>{}</head><body>{}</body>", "<body>{}{}</body>"):
+        page = where.format("<script>for(var i=0;i<n;i++){f(i)}</script>", f"<p>{para * 3}</p>")
+        assert html.main_text(page) == (para * 3).strip()
+
+
 def brute_features(text):
     text = text or ""
     words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
