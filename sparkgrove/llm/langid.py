@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from .minhash import _steps
 
-#: Labelled rows that each language's models are fitted on at most, languages at most (those with the most rows), features.
-PER_LANGUAGE, LANGUAGES, FEATURES = 800, 64, 2048
+#: Labelled rows that each language's models are fitted on at most, features.
+PER_LANGUAGE, FEATURES = 800, 2048
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is fy af lb yi",
     "romance": "fr es it pt ro ca gl oc la",
@@ -128,7 +128,7 @@ class Model:
 def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, seed: int = 3) -> Model:
     """A model from rows with a text and a label. The draw depends on a hash of the key, about per_language rows of each language."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang).limit(LANGUAGES).collect()
+    counts = rows.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang).collect()  # every language that occurs
     langs = sorted(r[lang] for r in counts)
     rate = F.lit(0.0)
     for r in counts:
@@ -154,7 +154,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang_pred: str = "l
     Null texts and texts without a letter, and all texts if nothing was learned: `und`, score 0. Columns of df with these
     names are replaced. Row-wise; an empty table stays empty.
     """
-    held = df.sparkSession.sparkContext.broadcast(model)  # (languages choose 2) vectors, at most LANGUAGES languages
+    held = df.sparkSession.sparkContext.broadcast(model)  # (languages choose 2) vectors
     keep = [c for c in df.columns if c not in (lang_pred, score) and (keep_text or c != text)]
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())])
 

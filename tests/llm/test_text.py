@@ -59,6 +59,13 @@ def test_language_held_out(spark):
     assert [r["lang_pred"] for r in langid.predict(odd, nothing).collect()] == ["und"] * (len(ODD) + 1)
 
 
+def test_every_language_is_learned(spark):
+    names = [f"x{i:02d}" for i in range(70)]
+    rows = [(2 * i + k, f"{chr(97 + i % 26)}{chr(97 + i // 26)}q " * 20, lang) for i, lang in enumerate(names) for k in range(2)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == names
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>.x{color:red}</style><script>var a = "<p>no</p>";</script></head><body>
 <header><h1>Site name</h1><nav><ul><li><a href="/">Home</a></li><li><a href="/b">More &amp; more</a></li></ul></nav></header>
 <div class="cookie-banner"><p>We use cookies to make this site work for you and for others.</p></div>
