@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -97,6 +98,59 @@ def test_main_text_outside_articles_and_after_scripts():
         assert html.main_text(page) == (para * 3).strip()
 
 
+def test_main_text_of_broken_and_odd_pages(spark):
+    para = "A paragraph of the main text with a good number of words in it, so that it is long enough to be kept as such."
+    p = f"<p>{para}</p>"
+    for page, want in (
+        (f"<head><meta charset=x>{p}", para),
+        (f"<body><button>{p}{p}", f"{para}\n{para}"),
+        (f"<article>{p}<p>Short</p><p><a>See also</a></p></article>", f"{para}\nShort"),
+        (f"<body>{p}<p><a href=x>Buy this now</a></p>{p}", f"{para}\n{para}"),
+        (f"<body>{p}<ul><li><a>one</a></li><li><a>two</a></li></ul></body>", para),
+        (f'<div class="layout with-sidebar"><article><h1>T</h1>{p}</article><div class="sidebar">{p}</div></div>', f"T\n{para}"),
+        (f'<div class="post tags-enabled"><h1>T</h1>{p}</div><footer>{p}</footer>', f"T\n{para}"),
+        (f'<div><h1>T</h1>{p}</div><div id="comments"><h2>C</h2>{p}{p}{p}</div>', f"T\n{para}"),
+        (f"<script>if(a<b){{x='it'}}</script>{p}", para),
+        (f"{p}<script>never closed {p}", para),
+    ):
+        assert html.main_text(page) == want, page[:80]
+    rows = [(1, f"<body>{p}", "x", "y"), (1, f"<body>{p}", "x", "y")]
+    out = html.extract(spark.createDataFrame(rows, "page_id long, html string, page string, __page string"))
+    assert [r["text"] for r in out.collect()] == [para] * 2 and out.columns == ["page_id", "html", "page", "__page", "text"]
+
+
+class Article(HTMLParser):
+    """The text of the article element of a page, block by block: written on its own, for pages of the test tables."""
+
+    BLOCKS = set("article h1 h2 h3 h4 p div ul ol li table tr td th section blockquote pre br hr".split())
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.blocks = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag in self.BLOCKS:
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag in self.BLOCKS:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_main_text_is_the_article_of_test_pages(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
+        parser = Article()
+        parser.feed(r["html"] or "")
+        parser.close()
+        assert html.main_text(r["html"]) == "\n".join(b for b in (" ".join(b.split()) for b in parser.blocks) if b)
+
+
 def brute_features(text):
     text = text or ""
     words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
