@@ -24,6 +24,8 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .common import fresh
+
 LETTER, NUMBER, OTHER, WHITE, SPACE = range(5)
 #: Code points that one vectorised step handles, unless a single document is longer.
 STEP = 1 << 19
@@ -297,8 +299,20 @@ class Vocabulary:
         return self.blob[np.arange(ends[-1]) + np.repeat(shift, size)].tobytes(), ends
 
 
+def sound(data: bytes, sizes: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The documents with U+FFFD in place of bytes that are not UTF-8; nearly always they come back as they are."""
+    try:
+        data.decode("utf-8")
+        return data, sizes
+    except UnicodeDecodeError:
+        ends = np.cumsum(sizes).tolist()
+        texts = [data[s:e].decode("utf-8", "replace").encode("utf-8") for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+        return b"".join(texts), np.array([len(t) for t in texts], np.int64)
+
+
 def encode_batch(vocabulary: Vocabulary, data: bytes, sizes: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Ids (little-endian, packed) of documents that lie one after another in data, and each document's number of ids."""
+    data, sizes = sound(data, sizes)
     cp = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), np.uint32)
     width = 1 + (cp >= 0x80).astype(np.int8) + (cp >= 0x800) + (cp >= 0x10000)
     at = np.empty(len(cp) + 1, np.int64)  # byte offset of each code point
@@ -364,7 +378,7 @@ def _decoded(vocabulary: Vocabulary, blob: bytes, counts: np.ndarray) -> tuple[p
 def encode(df: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens", decoded: str | None = None) -> DataFrame:
     """df with `ids` (binary: little-endian unsigned 32-bit ids of the whole text) and `n_tokens`, in place of `text`.
 
-    decoded: a further column, for the bytes to which the ids decode, made in the same pass over the text. Null and empty text: empty ids, 0 tokens. Columns of df that are called like the two outputs are replaced. Rows
+    decoded: a further column, for the bytes to which the ids decode, made in the same pass over the text. Null and empty text: empty ids, 0 tokens. Bytes that are not UTF-8 count as U+FFFD, and decode to it. Columns of df that are called like the two outputs are replaced. Rows
     are independent: repeated rows give equal results, an empty table an empty one, and a very long text is handled as one slice
     sequence in O(n log n). No shuffle.
     """
@@ -396,6 +410,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "dec
     keep = [c for c in df.columns if c not in (decoded, offsets) and (keep_ids or c != ids)]
     extra = [decoded] + ([offsets] if offsets else [])
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(c, T.BinaryType()) for c in extra])
+    (packed,) = fresh(df, "packed")
 
     def run(batches):
         vocabulary = _vocabulary(held)
@@ -406,4 +421,4 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "dec
                 new = [plain] + ([_binary(ends.astype("<i8").tobytes(), sizes * 2)] if offsets else [])
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(keep))] + new, names=[*keep, *extra])
 
-    return df.select(*keep, df[ids].alias("__ids")).mapInArrow(run, schema)
+    return df.select(*keep, df[ids].alias(packed)).mapInArrow(run, schema)
