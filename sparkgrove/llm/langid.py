@@ -15,10 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
 from .minhash import _steps
 
 #: Labelled rows that each language's models are fitted on at most, features.
 PER_LANGUAGE, FEATURES = 800, 2048
+#: Documents whose features are held at once.
+LOT = 1024
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is fy af lb yi",
     "romance": "fr es it pt ro ca gl oc la",
@@ -54,8 +57,12 @@ def vectors(data: bytes, sizes: np.ndarray, width: int = FEATURES) -> np.ndarray
     ends = np.cumsum(sizes)
     doc = np.repeat(np.arange(n), sizes)[:-2]
     inside = np.arange(len(code)) + 2 < ends[doc]
-    counts = np.bincount(doc[inside] * width + code[inside], minlength=n * width).reshape(n, width)
-    x = np.sqrt(counts, dtype=np.float32)
+    doc, code = doc[inside], code[inside]
+    x = np.empty((n, width), np.float32)
+    for i in range(0, n, LOT):  # counts are 8 bytes each, so they are made for a lot of documents at a time
+        a, b = np.searchsorted(doc, (i, i + LOT))
+        rows = min(LOT, n - i)
+        x[i : i + rows] = np.sqrt(np.bincount((doc[a:b] - i) * width + code[a:b], minlength=rows * width).reshape(rows, width))
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
@@ -130,10 +137,7 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = rows.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang).collect()  # every language that occurs
     langs = sorted(r[lang] for r in counts)
-    rate = F.lit(0.0)
-    for r in counts:
-        rate = F.when(F.col(lang) == r[lang], F.lit(min(1.0, per_language / r["n"]))).otherwise(rate)
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < rate * (1 << 30)
+    rates = labelled.sparkSession.createDataFrame([(r[lang], min(1.0, per_language / r["n"])) for r in counts], "l string, rate double")
 
     def run(batches):
         for batch in batches:
@@ -141,9 +145,11 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
                 x = vectors(data, sizes).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([v.tobytes() for v in x], pa.binary()), batch.column(2).slice(i, j - i)], names=["lang", "x", "at"])
 
-    drawn = rows.where(draw).select(F.col(lang).alias("lang"), F.col(text).alias("t"), F.xxhash64(F.col(key)).alias("at"))
-    most = per_language * max(1, len(langs)) * 2  # the draw's size varies a little; this bounds what the driver gets
-    got = sorted(drawn.mapInArrow(run, "lang string, x binary, at long").limit(most).collect(), key=lambda r: (r["at"], r["lang"]))
+    given = rows.select(F.col(lang).alias("lang"), F.col(text).alias("t"), F.xxhash64(F.lit(seed), F.col(key)).alias("at"))
+    drawn = given.join(F.broadcast(rates), given["lang"] == rates["l"]).where(F.pmod("at", F.lit(1 << 30)) < F.col("rate") * (1 << 30)).select("lang", "t", "at")
+    # the draw's size varies a little; the order makes what stays beyond twice that size, and so the model, the same at each run
+    most = per_language * max(1, len(langs)) * 2
+    got = sorted(drawn.mapInArrow(run, "lang string, x binary, at long").orderBy(F.pmod("at", F.lit(1 << 30)), "at", "lang", "x").limit(most).collect(), key=lambda r: (r["at"], r["lang"], r["x"]))
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, FEATURES), np.float32)
     return Model(langs, x, np.array([langs.index(r["lang"]) for r in got], np.int64))
 
@@ -151,11 +157,12 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
 def predict(df: DataFrame, model: Model, text: str = "text", lang_pred: str = "lang_pred", score: str = "score", keep_text: bool = True) -> DataFrame:
     """df with lang_pred and score (0 to 1), from the whole text.
 
-    Null texts and texts without a letter, and all texts if nothing was learned: `und`, score 0. Columns of df with these
-    names are replaced. Row-wise; an empty table stays empty.
+    Null texts and texts without a letter, and all texts if nothing was learned: `und`, score 0. Equal votes go to the larger sum of
+    probabilities, then to the language that comes first by code point. Columns of df with these names are replaced. Row-wise; an empty table stays empty.
     """
     held = df.sparkSession.sparkContext.broadcast(model)  # (languages choose 2) vectors
     keep = [c for c in df.columns if c not in (lang_pred, score) and (keep_text or c != text)]
+    (whole,) = fresh(df, "text")
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches):
@@ -175,4 +182,4 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang_pred: str = "l
             scores = [float(p) if ok else 0.0 for p, ok in zip(scores, letters, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(keep))] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, lang_pred, score])
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, df[text].alias(whole)).mapInArrow(run, schema)
