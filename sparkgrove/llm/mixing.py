@@ -13,15 +13,20 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import ranked
 from .common import WS, cut
 
 #: Documents of a block of the flight phase.
 BLOCK = 512
-#: Sources that the driver handles at most.
-MAX_SOURCES = 1_000_000
+#: Rows of the table of sources that are broadcast at most; a larger one is joined by shuffle.
+BROADCAST_SOURCES = 1_000_000
+#: Equal rows that one task numbers at a time.
+CHUNK = 65_536
 WEIGHTS = (5, 2, 1)
 
 
@@ -103,43 +108,78 @@ def landing(size: list[float], chance: list[float], goal: float) -> list[int]:
     return [best >> i & 1 for i in range(len(size))]
 
 
+def aims(sources: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """sources (src, source_size, n; one row each) with `target`: what targets() gives, for any number of sources.
+
+    A source stops at `most` times its size when size / weight is below a level; each pass over the sources raises that level until no
+    further source stops.
+    """
+    at = ranked(sources, [F.col("src").isNull(), F.col("src")], "at")
+    turn = F.array(*[F.lit(int(w)) for w in weights])
+    state = cut(at.select("src", "source_size", "n", F.get(turn, (F.col("at") % len(weights)).cast("int")).alias("w")))
+    stops, count = F.lit(False), 0
+    while True:
+        over = F.when(stops, F.col("source_size")).otherwise(0)
+        seen = state.agg(F.sum("source_size").alias("all"), F.sum(over).alias("over"), F.sum(F.when(stops, 0).otherwise(F.col("w"))).alias("w"), F.count_if(stops).alias("k")).first()
+        left, total = max(0.0, share * (seen["all"] or 0) - most * (seen["over"] or 0)), float(seen["w"] or 0)
+        if count and seen["k"] <= count or not total:
+            break
+        count = seen["k"]
+        beyond = F.lit(left) * F.col("w") / F.lit(total) > F.lit(most) * F.col("source_size")
+        if count == 0 and state.where(beyond).isEmpty():
+            break
+        stops = beyond
+    open_ = F.lit(left) * F.col("w") / F.lit(total or 1.0)
+    return state.select("src", "source_size", "n", F.when(stops, F.lit(most) * F.col("source_size")).otherwise(open_).alias("target"))
+
+
+def told_apart(doc: DataFrame) -> DataFrame:
+    """doc (id, src, size) with `nth`: equal rows are numbered from 0, the largest groups of them in chunks of their own."""
+    same = doc.groupBy("id", "src", "size").agg(F.count(F.lit(1)).alias("c"))
+    one = same.where("c = 1").select("id", "src", "size", F.lit(0).cast("long").alias("nth"))
+    chunk = same.where("c > 1").select("id", "src", "size", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1, F.lit(CHUNK).cast("long"))).alias("from")).repartition("id", "src", "size", "from")
+    many = chunk.select("id", "src", "size", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + CHUNK, F.col("c")) - 1)).alias("nth"))
+    return one.unionByName(many)
+
+
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, block: int = BLOCK) -> DataFrame:
     """key, source, size, source_size, target and copies (0 up to `most`, rounded up) of every row of df.
 
-    Null text: size 0. Null source: a source of its own, last in order. Rows with equal keys and sizes are told apart by
-    nothing and may get different copies. Empty table: no rows. Sources whose words are all in empty texts have target 0.
-    Blocks depend on the keys alone, so reruns agree however the input is partitioned.
+    Null text: size 0. Null source: a source of its own, last in order. Keys may be null and of any type that can be grouped; rows that are
+    equal in key, source and size are told apart by a number, so they may get different copies. Empty table: no rows. Sources whose
+    words are all in empty texts have target 0. Blocks depend on the rows alone, so reruns agree however the input is partitioned.
     """
-    doc = cut(df.select(F.col(key).alias("id"), F.col(source).alias("src"), word_count(F.col(text)).alias("size")))
-    rows = doc.groupBy("src").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    spark = df.sparkSession
-    aim = targets({r["src"]: r["size"] for r in rows}, weights, share, most)
-    plan = [(r["src"], r["size"], float(aim[r["src"]]), float(aim[r["src"]] / r["size"]) if r["size"] else 0.0, max(1, -(-r["n"] // block))) for r in rows]
-    table = spark.createDataFrame(plan, "src string, source_size long, target double, f double, blocks long")
-    join = F.broadcast(table.withColumnRenamed("src", "s"))  # one row a source, at most MAX_SOURCES
-    unit = doc.join(join, doc["src"].eqNullSafe(join["s"])).select("id", "src", "size", "source_size", "target", F.floor("f").alias("sure"), (F.col("f") - F.floor("f")).alias("chance"), "blocks")
+    doc = cut(told_apart(df.select(df[key].alias("id"), df[source].alias("src"), word_count(df[text]).alias("size"))))
+    sources = cut(aims(doc.groupBy("src").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, share, most))
+    seen = sources.agg(F.count(F.lit(1)).alias("sources"), F.max("n").alias("n")).first()
+    plan = sources.select(F.col("src").alias("s"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("f"), F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("long").alias("blocks"))
+    if seen["sources"] <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
+    unit = doc.join(plan, doc["src"].eqNullSafe(plan["s"])).select("id", "src", "size", "nth", "source_size", "target", F.floor("f").alias("sure"), (F.col("f") - F.floor("f")).alias("chance"), "blocks")
 
     def fly(last: bool):
-        def one(key_, pdf):
-            pdf = pdf.sort_values(["size", "id"], ascending=[False, True], kind="stable", na_position="last")
-            size, chance = pdf["size"].astype(float).tolist(), pdf["chance"].tolist()
-            out = flight(size, chance, random.Random(f"{seed}:{key_}:{len(size)}"))
+        def one(group, table):
+            size, chance = table.column("size").to_numpy().astype(float), table.column("chance").to_numpy()
+            order = np.lexsort((table.column("tie").to_numpy(), -size))
+            size, chance = size[order].tolist(), chance[order].tolist()
+            out = flight(size, chance, random.Random(f"{seed}:{[k.as_py() for k in group]}:{len(size)}"))
             if last:
                 open_ = [i for i, x in enumerate(out) if 0 < x < 1]
                 goal = sum(s * x for s, x in zip(size, chance, strict=True)) - sum(size[i] for i, x in enumerate(out) if x == 1)
                 for i, x in zip(open_, landing([size[i] for i in open_], [out[i] for i in open_], goal), strict=True):
                     out[i] = float(x)
-            return pdf.assign(chance=out)
+            done = np.empty(len(out))
+            done[order] = out
+            return table.set_column(table.column_names.index("chance"), "chance", pa.array(done)).drop_columns(["deal", "tie"])
 
         return one
 
     done = unit.where((F.col("chance") <= 0) | (F.col("chance") >= 1))
-    todo, level, blocks = unit.where((F.col("chance") > 0) & (F.col("chance") < 1)), 0, max((p[4] for p in plan), default=1)
+    todo, level, blocks = unit.where((F.col("chance") > 0) & (F.col("chance") < 1)), 0, max(1, -(-(seen["n"] or 0) // block))
     while True:
-        deal = F.pmod(F.xxhash64(F.lit(seed + level), "id", "size"), F.col("blocks"))
-        flown = todo.withColumn("deal", deal).groupBy("src", "deal").applyInPandas(fly(blocks == 1), todo.withColumn("deal", deal).schema).drop("deal")
+        mixed = F.xxhash64(F.lit(seed + level), "id", "size", "nth")
+        dealt = todo.withColumns({"deal": F.pmod(mixed, F.col("blocks")), "tie": mixed})
+        flown = dealt.groupBy("src", "deal").applyInArrow(fly(blocks == 1), todo.schema)
         if blocks == 1:
             break
         flown = cut(flown)
