@@ -1,12 +1,15 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 Base features come from the whole text. The method's verdict rejects a document when one of the ratios in RULES is above
-its stratum's cutoff. Labelled documents are a holdout: nothing is fitted to them but the choice among a fixed grid of
-cutoffs. For each stratum and rule the strictest cutoff is taken for which the exact (Clopper-Pearson) upper bound on the
-share of falsely rejected good documents is at most `risk` at confidence 1 - delta / m, m being the number of all tests (Bonferroni over
-strata, rules and grid), so all bounds hold together with probability 1 - delta. The bound is at most `risk` exactly if
-the binomial probability of no more false rejections than seen, at true rate `risk`, is at most delta / m; that sum is what
-the expressions below compute. A stratum with too few labels certifies nothing, and its rule stays off.
+its stratum's cutoff. The cutoffs are tightened along one fixed path, PATH: every step makes the cutoff of one rule
+stricter by one notch, the rules in turn, from none at all to the strictest of all. Labelled documents are a holdout: nothing
+is fitted to them but how far each stratum goes. A step is certified for a stratum if the exact (Clopper-Pearson) upper bound
+on the share of good documents that any of its cutoffs rejects is at most `risk` at confidence 1 - delta / strata; the stratum goes
+up to the first step that is not. Testing in a fixed order needs no correction over the steps, and the division by the number of
+strata corrects for these, so with probability 1 - delta no stratum's false rejections, all rules together, exceed `risk`. The
+bound is at most `risk` exactly if the binomial probability of no more false rejections than seen, at true rate `risk`, is at
+most delta / strata; that sum is what the expressions below compute. Even without a false rejection a stratum needs
+ln(strata / delta) / risk good labels, 877 for four strata, to certify a step; one with fewer has the base rules only.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, cut, words
+from .common import WS, cut, fresh, words
 
 WINDOW = 8
 #: Ratio of base features to test, and the grid of cutoffs; a document is rejected above the cutoff.
@@ -26,10 +29,12 @@ RULES = {
     "repeats": ("n_repeat_words / n_words", (0.05, 0.1, 0.15, 0.2, 0.25)),
     "word_length": ("word_chars / n_words", (5.5, 6.0, 6.5, 7.0, 8.0, 10.0)),
 }
-#: Largest false rejection of good documents by one rule in one stratum, and the chance that any bound fails.
+#: Largest share of good documents that a stratum's cutoffs reject together, and the chance that any bound fails.
 RISK, DELTA = 0.005, 0.05
-#: Strata that get cutoffs of their own at most: those with the most labels. Each needs hundreds of labels to certify any.
-MAX_STRATA = 1024
+#: (rule, cutoff) of each step: the loosest cutoff of every rule, then the next of every rule, and so on.
+PATH = tuple((r, c) for level in range(max(len(cs) for _, cs in RULES.values())) for r, (_, cs) in RULES.items() for c in sorted(cs)[::-1][level : level + 1])
+#: Strata whose steps are broadcast at most; more are joined by shuffle.
+BROADCAST_STRATA = 100_000
 
 
 def features(text) -> dict[str, F.Column]:
@@ -51,7 +56,7 @@ def features(text) -> dict[str, F.Column]:
 
 
 def repeated(token, width: int = WINDOW) -> F.Column:
-    """Words inside windows of `width` words that occur twice or more in the array, the first occurrence included.
+    """Words inside windows of `width` words, a power of two, that occur twice or more in the array, the first occurrence included.
 
     Windows are compared by 64-bit hashes within one text. Their sorted (hash, position) pairs put equal windows side by
     side, so the cost is n log n; texts without a repeated window, nearly all, stop at a distinct count.
@@ -72,11 +77,17 @@ def repeated(token, width: int = WINDOW) -> F.Column:
     def count(hashes):
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(covered(hashes))
 
-    def windows(codes):
-        return F.transform(F.sequence(F.lit(1), F.size(codes) - width + 1), lambda i: F.xxhash64(F.slice(codes, i, width)))
+    def doubled(hashes, far):
+        """Hashes of the runs twice as long: of each run and the one that follows it."""
+        return F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + far)))
+
+    def windows(hashes, far=1):
+        if far < width:
+            return let(doubled(hashes, far), lambda h: windows(h, 2 * far))
+        return let(F.slice(hashes, 1, F.size(hashes) - width + 1), count)
 
     def whole(t):
-        return F.when(F.size(t) <= width, F.lit(0)).otherwise(let(windows(t), count))
+        return F.when(F.size(t) <= width, F.lit(0)).otherwise(let(F.transform(t, lambda w: F.xxhash64(w)), lambda h: windows(h)))
 
     return let(token, whole).cast("long")
 
@@ -112,41 +123,54 @@ def certified(n, k, risk: float, level) -> F.Column:
     return (n > k) & (k <= n * risk) & (sum_ <= level)
 
 
-def cutoffs(rated: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "stratum", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """stratum, rule, cutoff: the strictest certified cutoff; rules without one have no row.
+def first_step() -> F.Column:
+    """The first step of PATH, from 1, whose cutoffs reject a row; none: one more than there are."""
+    out = F.lit(len(PATH) + 1)
+    for i in range(len(PATH), 0, -1):
+        rule, cutoff = PATH[i - 1]
+        out = F.when(_ratio(rule) > cutoff, F.lit(i)).otherwise(out)
+    return out
+
+
+def cutoffs_of(step: int) -> dict[str, float]:
+    """The cutoffs in force after a number of steps; rules without one are off."""
+    return dict(PATH[:step])
+
+
+def certified_steps(rated: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "stratum", risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """stratum, n (good labels), step: how many steps of PATH are certified for each stratum with labels.
 
     rated: features by key, and a stratum. labels: key and quality; a document is good if every label it has says 1, and
     documents that the base rules reject are left out. Null labels and keys count for nothing.
     """
-    good = labels.where(F.col("quality").isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min("quality").alias("q")).where("q = 1")
-    held = rated.where(~base_failed()).join(good, rated[key] == good["__key"])
-    # one pass: for each stratum the number of good documents and, for each rule and cutoff, of those above it
-    grid = [(r, c, f"above_{i}_{j}") for i, (r, (_, cs)) in enumerate(RULES.items()) for j, c in enumerate(cs)]
-    counts = held.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(_ratio(r) > c).alias(a) for r, c, a in grid])
-    counts = counts.orderBy(F.desc("n"), "stratum").limit(MAX_STRATA)
-    tests = counts.count() * len(grid) or 1
-    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(a).alias("k")) for r, c, a in grid]))
-    flat = counts.select("stratum", "n", each.alias("t")).select("stratum", "n", "t.*")
-    return flat.where(certified(F.col("n"), F.col("k"), risk, F.lit(delta / tests))).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
-
-
-def judge(rated: DataFrame, chosen: DataFrame, stratum: str = "stratum") -> DataFrame:
-    """rated with base_failed and kept. chosen: what cutoffs() returned, at most MAX_STRATA rows once pivoted."""
-    wide = chosen.groupBy(F.col("stratum").alias("__stratum")).agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"__{r}") for r in RULES])
-    joined = rated.join(F.broadcast(wide), rated[stratum] == wide["__stratum"], "left")
-    fires = F.lit(False)
-    for r in RULES:
-        fires = fires | F.coalesce(_ratio(r) > F.col(f"__{r}"), F.lit(False))
-    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~fires).drop("__stratum", *[f"__{r}" for r in RULES])
+    (one,) = fresh(rated, "key")
+    good = labels.where(F.col("quality").isNotNull()).groupBy(labels[key].alias(one)).agg(F.min("quality").alias("q")).where("q = 1").select(one)
+    held = rated.where(~base_failed()).join(good, rated[key] == good[one]).select(rated[stratum].alias("stratum"), first_step().alias("at"))
+    # one pass: for each stratum the number of good documents, and for each step of those that it rejects
+    counts = cut(held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("at") <= i).alias(f"k{i}") for i in range(1, len(PATH) + 1)]))
+    level = F.lit(delta / max(1, counts.count()))
+    passed = F.array(*[certified(F.col("n"), F.col(f"k{i}"), risk, level) for i in range(1, len(PATH) + 1)], F.lit(False))
+    return counts.select("stratum", "n", (F.array_position(passed, F.lit(False)) - 1).cast("int").alias("step"))
+
+
+def judge(rated: DataFrame, steps: DataFrame, stratum: str = "stratum") -> DataFrame:
+    """rated with base_failed and kept. steps: what certified_steps() returned; strata that it lacks have the base rules only."""
+    mine, go = fresh(rated, "mine", "go")
+    steps = cut(steps.where("step > 0").select(F.col("stratum").alias(mine), F.col("step").alias(go)))
+    if steps.count() <= BROADCAST_STRATA:
+        steps = F.broadcast(steps)
+    joined = rated.join(steps, rated[stratum] == steps[mine], "left")
+    out = joined.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & (first_step() > F.coalesce(F.col(go), F.lit(0)))})
+    return out.drop(mine, go)
 
 
 def rate(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", carry: list[str] | None = None) -> DataFrame:
     """key, features, stratum, base_failed and kept of every row of df; carry: columns that come along in a struct `row`.
 
-    Null strata form a stratum of their own; an empty labels table certifies nothing, so only the base rules reject. Repeated
+    Null strata form a stratum of their own, and any number of strata is judged; an empty labels table certifies nothing, so only the base rules reject. Repeated
     keys are judged row by row. The features are computed once and cut in the shared folder, as thresholds need them first.
     """
     row = [F.struct(*[df[c] for c in carry]).alias("row")] if carry else []
     rated = df.select(F.col(key), *row, F.coalesce(F.concat(F.lit("="), F.col(stratum)), F.lit("null")).alias("stratum"), *[c.alias(n) for n, c in features(F.col(text)).items()])
     rated = cut(rated)
-    return judge(rated, cutoffs(rated, labels, key))
+    return judge(rated, certified_steps(rated, labels, key))
