@@ -2,20 +2,25 @@
 
 The cascade is built over the corpus's complete key universe: level 0 encodes the listed keys, level 1 the universe's keys
 that level 0 wrongly accepts, level 2 the listed keys that level 1 wrongly accepts, and so on until no error is left. A
-key of the universe is listed exactly if the first level that refuses it is odd. Levels shrink geometrically; their size is
-checked, and a list beyond MAX_BITS is dealt into shards by hash, each with a cascade of its own, probed by hash as well.
+key of the universe is listed exactly if the first level that refuses it is odd. Keys whose levels would take more than MAX_BITS
+are dealt into shards by hash, each with a cascade of its own; rows are then judged shard by shard, so an executor holds
+the bits of one shard at a time. Ties cannot occur: a key is listed or not, and of equally long rules only one fits a url.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
-#: Bits a key of each level gets, and hash functions: the first refuses all but about 2 %, later ones halve.
+#: Bits that each key of a level gets, and hash functions: a level wrongly accepts about 2 % of the keys it should refuse.
 BITS, HASHES = 8, 4
-#: Bits of all levels that are broadcast at most: 64 MB.
+#: Bits of all levels of a shard, which are broadcast, at most: 64 MB. More keys make more shards.
 MAX_BITS = 1 << 29
 #: The hosts that count as listed hold one of these words between dots and hyphens.
 LISTED_WORDS = ("adult", "bets", "bet", "casino", "gambling", "malware", "phishing", "pills", "poker", "porn", "sex", "spam", "torrent", "viagra", "warez", "xxx")
@@ -44,13 +49,13 @@ def rule_of(host, path, rules=RULES) -> tuple[F.Column, F.Column]:
 
 def _slots(bits: int, level: int) -> F.Column:
     """The HASHES bit positions of column `key` at a level, by double hashing of one 64-bit hash."""
-    h = F.xxhash64(F.lit(level), "key")
+    h = _hash(level, F.col("key"))
     a, b = F.shiftrightunsigned(h, 32), h.bitwiseAND(0xFFFFFFFF).bitwiseOR(1)
     return F.array(*[F.pmod(a + i * b, F.lit(bits)) for i in range(HASHES)])
 
 
 class Cascade:
-    """Levels (bits, bytes) of a built cascade."""
+    """Levels (bits, bytes) of a built cascade of one shard; each has its own broadcast."""
 
     def __init__(self, levels: list[tuple[int, bytes]]):
         self.levels = levels
@@ -60,22 +65,80 @@ class Cascade:
         return sum(n for n, _ in self.levels)
 
     def holds(self, key) -> F.Column:
-        """Exact membership of a string column's value, if it is in the universe. JVM only: each level is a literal bitmap."""
-        out = F.lit(len(self.levels) % 2 == 1)  # what every level accepts: the last level had no error
-        for i in range(len(self.levels) - 1, -1, -1):
-            out = F.when(self._accepts(key, i), out).otherwise(F.lit(i % 2 == 1))
+        """Exact membership of a string column's value, if it is in the universe: an Arrow batch at a time; null: false."""
+        if not self.levels:
+            return F.lit(False)
+        held = SparkSession.active().sparkContext.broadcast(self.levels)
+
+        @F.pandas_udf("boolean")
+        def probe(hashes: pd.Series) -> pd.Series:
+            h = np.stack(hashes.to_numpy()) if len(hashes) else np.zeros((0, 1), np.int64)
+            levels = held.value
+            out, open_ = np.full(len(h), len(levels) % 2 == 1), np.ones(len(h), bool)  # what every level accepts
+            for i, (bits, raw) in enumerate(levels):
+                refused = open_ & ~_accepted(h[:, i], bits, np.frombuffer(raw, np.uint8))
+                out[refused] = i % 2 == 1
+                open_ &= ~refused
+            return pd.Series(out)
+
+        return F.when(key.isNull(), F.lit(False)).otherwise(probe(F.array(*[_hash(i, key) for i in range(len(self.levels))])))
+
+    def accepts_last(self, key) -> F.Column:
+        """Whether the last level accepts a key, right or wrong."""
+        held, level = SparkSession.active().sparkContext.broadcast(self.levels[-1]), len(self.levels) - 1
+
+        @F.pandas_udf("boolean")
+        def probe(h: pd.Series) -> pd.Series:
+            bits, raw = held.value
+            return pd.Series(_accepted(h.to_numpy(), bits, np.frombuffer(raw, np.uint8)))
+
+        return probe(_hash(level, key))
+
+
+class Sharded:
+    """Cascades of keys that are dealt by hash."""
+
+    def __init__(self, shards: list[Cascade]):
+        self.shards = shards
+
+    @property
+    def levels(self) -> list[tuple[int, bytes]]:
+        return [level for shard in self.shards for level in shard.levels]
+
+    def holds(self, key) -> F.Column:
+        """Exact membership, as in Cascade; the bits of all shards are broadcast, so judge() takes them one by one."""
+        out = F.lit(False)
+        for i, shard in enumerate(self.shards):
+            out = F.when(_shard(key, len(self.shards)) == i, shard.holds(key)).otherwise(out)
         return F.when(key.isNull(), F.lit(False)).otherwise(out)
 
-    def _accepts(self, key, level: int) -> F.Column:
-        n, raw = self.levels[level]
-        h = F.xxhash64(F.lit(level), key)
-        a, b = F.shiftrightunsigned(h, 32), h.bitwiseAND(0xFFFFFFFF).bitwiseOR(1)
-        yes = F.lit(True)
-        for i in range(HASHES):
-            at = F.pmod(a + i * b, F.lit(n))
-            byte = F.conv(F.hex(F.substring(F.lit(raw), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-            yes = yes & (F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1)
-        return yes
+    def marked(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """df with `name`: whether the key is listed. One pass over df for each shard."""
+        n = len(self.shards)
+        if n == 1:
+            return df.withColumn(name, self.shards[0].holds(F.col(key)))
+        at = F.coalesce(_shard(F.col(key), n), F.lit(0))
+        parts = [df.where(at == i).withColumn(name, shard.holds(F.col(key))) for i, shard in enumerate(self.shards)]
+        return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _hash(level: int, key) -> F.Column:
+    return F.xxhash64(F.lit(level), key)
+
+
+def _shard(key, n: int) -> F.Column:
+    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(n)).cast("int")
+
+
+def _accepted(h: np.ndarray, bits: int, raw: np.ndarray) -> np.ndarray:
+    """Whether all bits of each hash are set: the slots of _slots()."""
+    h = h.astype(np.int64).view(np.uint64)
+    a, b = (h >> np.uint64(32)).astype(np.int64), ((h & np.uint64(0xFFFFFFFF)) | np.uint64(1)).astype(np.int64)
+    yes = np.ones(len(h), bool)
+    for i in range(HASHES):
+        at = (a + i * b) % bits
+        yes &= (raw[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return yes
 
 
 def _level(keys: DataFrame, count: int, level: int) -> tuple[int, bytes]:
@@ -89,14 +152,31 @@ def _level(keys: DataFrame, count: int, level: int) -> tuple[int, bytes]:
     return bits, bytes(out[: bits // 8])
 
 
-def build(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS) -> Cascade:
-    """The cascade of `listed` (key) over `universe` (key). Null keys are left out; listed keys outside it are added to it.
+def build(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS) -> Sharded:
+    """The cascades of `listed` (key) over `universe` (key). Null keys are left out; listed keys outside it are added to it.
 
-    An empty list gives a cascade that refuses all. The bits of all levels are checked against max_bits.
+    An empty list gives a cascade that refuses all. Where a shard's levels need more than max_bits, all keys are dealt into twice as many
+    shards, until every shard fits.
     """
     listed = listed.select("key").where("key is not null").distinct()
     other = cut(universe.select("key").where("key is not null").distinct().join(listed, "key", "left_anti"))
     yes = cut(listed)
+    n = 1
+    while True:
+        shards = []
+        for i in range(n):
+            mine = _shard(F.col("key"), n) == i
+            shard = _cascade(yes.where(mine), other.where(mine), max_bits)
+            if shard is None:
+                break
+            shards.append(shard)
+        if len(shards) == n:
+            return Sharded(shards)
+        n *= 2
+
+
+def _cascade(yes: DataFrame, other: DataFrame, max_bits: int) -> Cascade | None:
+    """The cascade of one shard; None if its levels need more than max_bits."""
     levels: list[tuple[int, bytes]] = []
     sides = [yes, other]
     while True:
@@ -104,13 +184,12 @@ def build(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS) -> C
         keys = sides[level % 2]
         count = keys.count()
         if not count:
-            break
-        if sum(n for n, _ in levels) + count * BITS > max_bits:
-            raise ValueError("the cascade is larger than max_bits; shard the keys by hash")
+            return Cascade(levels)
+        if level and sum(n for n, _ in levels) + count * BITS > max_bits or not level and count * BITS > max_bits and count > 1:
+            return None
         levels.append(_level(keys, count, level))
         wrong = sides[1 - level % 2]
-        sides[1 - level % 2] = cut(wrong.where(Cascade(levels)._accepts(F.col("key"), level)))
-    return Cascade(levels)
+        sides[1 - level % 2] = cut(wrong.where(Cascade(levels).accepts_last(F.col("key"))))
 
 
 def listed_hosts(hosts: DataFrame, words_=LISTED_WORDS) -> DataFrame:
@@ -118,14 +197,16 @@ def listed_hosts(hosts: DataFrame, words_=LISTED_WORDS) -> DataFrame:
     return hosts.where(F.exists(F.split("key", r"[.\-]"), lambda x: x.isin(*words_)))
 
 
-def judge(df: DataFrame, cascade: Cascade, url: str = "url", rules=RULES) -> DataFrame:
+def judge(df: DataFrame, cascade: Sharded, url: str = "url", rules=RULES) -> DataFrame:
     """df with host, path, rule and verdict: the longest rule's verdict, else block if the host is listed, else allow.
 
     Null, empty and odd urls have empty host and path, fit no rule and are allowed. Columns of df with these names are
     replaced. Row-wise: no join, no shuffle.
     """
-    host, path = host_of(F.col(url)), path_of(F.col(url))
+    host, path = host_of(df[url]), path_of(df[url])
     out = df.withColumns({"host": host, "path": path})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    method = F.when(cascade.holds(F.col("host")), F.lit("block")).otherwise(F.lit("allow"))
-    return out.withColumns({"rule": rule, "verdict": F.coalesce(verdict, method)})
+    (listed,) = fresh(out, "listed")
+    out = cascade.marked(out.withColumns({"rule": rule, "verdict": verdict}), "host", listed)
+    method = F.when(F.col(listed), F.lit("block")).otherwise(F.lit("allow"))
+    return out.withColumn("verdict", F.coalesce("verdict", method)).drop(listed)
