@@ -12,7 +12,8 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from ..plans.lineage import ranked
+from .common import cut, fresh
 
 
 def json_string(text) -> F.Column:
@@ -117,36 +118,83 @@ def ordered(calls: DataFrame) -> DataFrame:
 #: Argument schemas of the built-in call: name, argument, type, required, largest length (code points, null: any).
 SCHEMAS = [("reply", "text", "string", True, None), ("reply", "length", "integer", True, 18)]
 SCHEMA_TYPE = "name string, arg string, type string, required boolean, most int"
+#: What a value of each type looks like.
+INTEGER, NUMBER = r"^-?[0-9]+$", r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 #: Schema rows that are broadcast at most.
 MAX_SCHEMA = 10_000
 
 
+def json_number(text) -> F.Column:
+    """Canonical JSON number of a number's text: no leading zeros, no zeros that end a fraction, no `-0`, exponent as `e` without plus sign or leading zeros."""
+    sign, rest = F.regexp_extract(text, r"^(-?)0*(.*)$", 1), F.regexp_extract(text, r"^-?0*(.*)$", 1)
+    rest = F.when(rest.rlike(r"^[0-9]"), rest).otherwise(F.concat(F.lit("0"), rest))
+    rest = F.regexp_replace(F.regexp_replace(rest, r"(\.[0-9]*?)0+(?=$|[eE])", "$1"), r"\.(?=$|[eE])", "")
+    rest = F.regexp_replace(F.regexp_replace(rest, r"[eE]\+?(-?)0*(?=[0-9])", "e$1"), r"e-?0$", "")
+    zero = rest.rlike(r"^0(e|$)")
+    return F.when(zero, F.lit("0")).otherwise(F.concat(sign, rest))
+
+
+def fits(type_, value) -> F.Column:
+    """Whether a value's text is of a schema type: string, integer, number or boolean; unknown types fit any value."""
+    return F.when(type_ == "integer", value.rlike(INTEGER)).when(type_ == "number", value.rlike(NUMBER)).when(type_ == "boolean", value.isin("true", "false")).otherwise(F.lit(True))
+
+
+def json_value(type_, value) -> F.Column:
+    """Canonical JSON of a value by its schema type; what does not fit the type, or has none, is a string; null: null."""
+    plain = F.when(type_.isin("integer", "number"), json_number(value)).when(type_ == "boolean", value)
+    return F.coalesce(F.when(fits(type_, value), plain), json_string(value))
+
+
 def checked(calls: DataFrame, schemas: DataFrame) -> DataFrame:
-    """calls with `valid` and `errors` (sorted array): each argument against the schema of its call's name.
+    """calls with `valid`, `errors` (sorted array) and `arguments`: each argument against the schema of its call's name.
 
     Errors: `unknown tool`, `missing <arg>`, `unexpected <arg>`, `type <arg>`, `long <arg>`. A null value counts as missing.
-    Types: string, integer, number, boolean. schemas: at most MAX_SCHEMA rows, checked.
+    Types: string, integer, number, boolean. `arguments` is the canonical JSON object of the arguments, sorted by name, each as its
+    schema's type has it. schemas: at most MAX_SCHEMA rows, checked; of rows that repeat a call's argument the least counts for its type.
+    Columns of calls with these names are replaced.
     """
     if schemas.limit(MAX_SCHEMA + 1).count() > MAX_SCHEMA:
         raise ValueError("too many schema rows")
-    spec = F.broadcast(schemas.groupBy(F.col("name").alias("__name")).agg(F.sort_array(F.collect_list(F.struct("arg", "type", "required", "most"))).alias("__spec")))
-    joined = calls.join(spec, calls["name"] == spec["__name"], "left")
+    tool, spec = fresh(calls, "tool", "spec")
+    specs = F.broadcast(schemas.groupBy(F.col("name").alias(tool)).agg(F.sort_array(F.collect_list(F.struct("arg", "type", "required", "most"))).alias(spec)))
+    joined = calls.join(specs, calls["name"] == specs[tool], "left")
 
     def of(s):
         value = F.col("args")[s["arg"]]
-        ok = F.when(s["type"] == "integer", value.rlike(r"^-?[0-9]+$")).when(s["type"] == "number", value.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$")).when(s["type"] == "boolean", value.isin("true", "false")).otherwise(F.lit(True))
-        return F.when(value.isNull(), F.when(s["required"], F.concat(F.lit("missing "), s["arg"]))).when(~ok, F.concat(F.lit("type "), s["arg"])).when(F.length(value) > s["most"], F.concat(F.lit("long "), s["arg"]))
+        return F.when(value.isNull(), F.when(s["required"], F.concat(F.lit("missing "), s["arg"]))).when(~fits(s["type"], value), F.concat(F.lit("type "), s["arg"])).when(F.length(value) > s["most"], F.concat(F.lit("long "), s["arg"]))
 
-    known = F.transform("__spec", lambda s: s["arg"])
+    known = F.transform(spec, lambda s: s["arg"])
     more = F.transform(F.array_except(F.map_keys("args"), known), lambda a: F.concat(F.lit("unexpected "), a))
-    errors = F.when(F.col("__spec").isNull(), F.array(F.lit("unknown tool"))).otherwise(F.sort_array(F.concat(F.filter(F.transform("__spec", of), lambda e: e.isNotNull()), F.coalesce(more, F.array().cast("array<string>")))))
-    return joined.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0).drop("__name", "__spec")
+    errors = F.when(F.col(spec).isNull(), F.array(F.lit("unknown tool"))).otherwise(F.sort_array(F.concat(F.filter(F.transform(spec, of), lambda e: e.isNotNull()), F.coalesce(more, F.array().cast("array<string>")))))
+
+    def pair(entry):
+        type_ = F.get(F.filter(spec, lambda s: s["arg"] == entry["key"]), 0)["type"]
+        return F.concat(json_string(entry["key"]), F.lit(":"), json_value(F.coalesce(type_, F.lit("string")), entry["value"]))
+
+    arguments = F.concat(F.lit("{"), F.array_join(F.transform(F.sort_array(F.map_entries("args")), pair), ","), F.lit("}"))
+    out = joined.withColumns({"errors": errors, "arguments": F.coalesce(arguments, F.lit("{}"))})
+    return out.withColumn("valid", F.size("errors") == 0).drop(tool, spec)
+
+
+def answers(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """Every result as a row: conv_id, call_id, number (from 0 in order of content, null first), content, and canonical JSON `message`.
+
+    Results are found by a hash join with the calls' identifiers; those that no call asked for, or with null identifiers, are
+    left out. Numbers come from a global order, so a call with very many results is never ordered in one task.
+    """
+    asked = calls.select("conv_id", "call_id").where("conv_id is not null and call_id is not null").distinct()
+    found = results.select("conv_id", "call_id", "content").join(asked, ["conv_id", "call_id"], "left_semi")
+    placed = cut(ranked(found, [F.col("conv_id"), F.col("call_id"), F.col("content")], "at"))
+    first = placed.groupBy("conv_id", "call_id").agg(F.min("at").alias("first"))
+    out = placed.join(first, ["conv_id", "call_id"]).select("conv_id", "call_id", (F.col("at") - F.col("first")).alias("number"), "content")
+    return out.withColumn("message", json_object({"id": json_string(F.col("call_id")), "number": F.col("number").cast("string"), "result": json_string(F.col("content"))}))
 
 
 def linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """One row per call with depth, valid, errors, n_results, content (least result) and canonical JSON `message`.
+    """One row per call with depth, valid, errors, arguments, n_results, content (least result) and canonical JSON `message`.
 
-    Calls that repeat (conv_id, call_id) stay rows of their own and share results. Null identifiers link to nothing. Calls
+    `arguments` has values of their schema's types; in `message`, a digest, all are strings and the least result stands for all: answers()
+    gives each. Calls that repeat (conv_id, call_id) stay rows of their own and share results. Null identifiers link to nothing. Calls
     without a result have content null. Empty tables give no rows.
     """
     found = results.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n_results"), F.min("content").alias("content"))

@@ -38,7 +38,7 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     out = chat.linked(chat.calls_of(turns), chat.results_of(turns), spark.createDataFrame(chat.SCHEMAS, chat.SCHEMA_TYPE))
-    return out.select("conv_id", "call_id", "depth", "n_results", "valid", "message")
+    return out.select("conv_id", "call_id", "depth", "n_results", "valid", "message", "arguments")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,8 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs, keep_text=False, ranks=secrets.corpus_ranks(docs))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] != "guess")
     strongest = F.array_max(F.transform("spans", lambda s: s["cost"]))
@@ -80,7 +81,8 @@ ORACLE: dict[str, str] = {
         a AS (SELECT conv_id, turn - 1 AS turn, count(*) AS n_results, min(text) AS content FROM conversations WHERE role = 'assistant' GROUP BY ALL)
         SELECT c.conv_id, 'call-' || c.turn AS call_id, depth, coalesce(n_results, 0) AS n_results, c.text IS NOT NULL AS valid,
           '{"call":{"arguments":{"length":"' || length(coalesce(c.text, '')) || '","text":' || coalesce(CAST(to_json(c.text) AS VARCHAR), 'null') || '},"id":"call-' || c.turn || '","name":"reply"},"depth":' || depth
-          || ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || ',"valid":' || CASE WHEN c.text IS NULL THEN 'false' ELSE 'true' END || '}' AS message
+          || ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || ',"valid":' || CASE WHEN c.text IS NULL THEN 'false' ELSE 'true' END || '}' AS message,
+          '{"length":' || length(coalesce(c.text, '')) || ',"text":' || coalesce(CAST(to_json(c.text) AS VARCHAR), 'null') || '}' AS arguments
         FROM conversations c JOIN d USING (conv_id, turn) LEFT JOIN a USING (conv_id, turn) WHERE role = 'user'""",
     "op8_urls": f"""
         WITH h AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN split_part({_STEM}, '/', 1) ELSE '' END AS raw,

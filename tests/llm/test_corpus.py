@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkgrove.llm import ann, minhash, mixing, quality, secrets
+from sparkgrove.llm.common import row_keys
 
 
 def brute_shingles(text):
@@ -156,6 +157,31 @@ def test_mix_targets_and_totals(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mix_keeps_ids_and_splits_equal_rows(spark):
+    big = 1 << 60
+    rows = [(big + i, "w " * (i + 1), "a") for i in range(40)] + [(None, "w", "a")] * 700 + [(7, "w w", "a")] * 700
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df, block=64).collect()
+    assert sorted(str(r["doc_id"]) for r in out) == sorted(str(r[0]) for r in rows)
+    taken = sum(r["size"] * r["copies"] for r in out)
+    assert abs(taken - out[0]["target"]) <= 0.01 * out[0]["target"] + 5
+    # equal rows are flown in many blocks, so nearly all of them are taken alike
+    share = lambda k: sum(r["copies"] for r in out if r["doc_id"] == k) / 700
+    assert abs(share(None) - 1.5) < 0.1 and abs(share(7) - 1.5) < 0.1
+    assert sorted(map(str, out)) == sorted(map(str, mixing.mix(df.repartition(5), block=64).collect()))
+    named = mixing.mix(df.withColumn("doc_id", F.struct("doc_id", F.lit("x").alias("y"))))
+    assert named.count() == len(rows)
+
+
+def test_aims_equal_targets(spark):
+    rng = random.Random(4)
+    for sizes in ({}, {"a": 0}, {"a": 1}, {"b": 10, None: 3}, {chr(97 + i): rng.choice([0, 5, 100, 10**6, 10**9]) for i in range(26)}, {f"s{i}": 2**i for i in range(40)}):
+        df = spark.createDataFrame([(k, v, 1) for k, v in sizes.items()], "src string, source_size long, n long")
+        want = mixing.targets(sizes)
+        got = {r["src"]: r["target"] for r in mixing.aims(df).collect()}
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) <= 1e-9 * max(1, want[k]) for k in want)
+
+
 def test_flight_keeps_both_totals():
     rng = random.Random(8)
     size = [float(rng.randrange(1, 5000)) for _ in range(400)]
@@ -207,6 +233,40 @@ def test_neighbours_of_few(spark):
     assert ann.nearest(df.limit(1), lambda k: k == 0).count() == 0 and ann.nearest(df.limit(0), lambda k: k == 0).count() == 0
 
 
+def test_neighbours_of_several_lengths(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.standard_normal(4 if i % 3 else 6)]) for i in range(150)] + [(500, [1.0]), (7, [9.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, lambda k: k % 50 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    rows = {k: v for k, v in sorted(rows, key=lambda r: (r[0], r[1]), reverse=True)}  # of rows that share a key the least vector
+    for q in (0, 50, 100):
+        same = [(k, v) for k, v in rows.items() if len(v) == len(rows[q])]
+        assert got[q] == {j for j, _ in brute_nearest(same, lambda k: k == q)[q]}
+    assert 500 not in got
+
+
+def test_row_keys(spark):
+    rows = [(3, "a"), (5, "b"), (5, "c"), (None, "d"), (None, "d"), (-2, "e")]
+    keys = row_keys(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()
+    assert {(r["doc_id"], r["text"]): r["key"] for r in keys if r["doc_id"] not in (None, 5)} == {(3, "a"): 3, (-2, "e"): -2}
+    assert sorted(r["key"] for r in keys) == [-4, -3, -2, 3, 6, 7]
+    assert [r["key"] for r in row_keys(spark.createDataFrame(rows[:2], "doc_id long, text string"), "key").orderBy("key").collect()] == [3, 5]
+
+
+def test_pipeline_dedup_of_rows_without_their_own_id(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    near = [*base[:100], "changed", *base[101:]]
+    other = [f"v{rng.randrange(10**6)}" for _ in range(100)]
+    rows = [(1, base), (None, near), (None, other), (4, other), (9, base[::-1]), (9, [*other[::-1]])]
+    docs = spark.createDataFrame([(k, " ".join(t), "en", "s", 5) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    # a row without a doc_id comes first in its class, and different texts that share one all stay
+    assert out == {(None, " ".join(near)), (None, " ".join(other)), (9, " ".join(base[::-1])), (9, " ".join(other[::-1]))}
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

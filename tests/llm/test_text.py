@@ -320,5 +320,138 @@ def test_hash_columns_agree_with_library(spark):
         assert r["decoded_sha256"] == hashlib.sha256(docs[r["doc_id"]].encode()).hexdigest()
 
 
+def test_bpe_of_broken_bytes(spark):
+    rows = [(0, b"ab\xff\xfecd"), (1, "caf\u00e9".encode()), (2, b"\x80"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, raw binary").select("doc_id", F.col("raw").cast("string").alias("text"))
+    out = {r["doc_id"]: r for r in bpe.encode(df, PATH, decoded="decoded").collect()}
+    for k, raw in rows:
+        text = (raw or b"").decode("utf-8", "replace")
+        assert bytes(out[k]["decoded"]).decode() == text and np.frombuffer(out[k]["ids"], "<u4").tolist() == encoder().encode_ordinary(text)
+
+
+def test_quality_verdicts_match_brute_force(spark):
+    """Steps of every stratum, a minority one and one with too few labels among them, and the verdicts that follow."""
+    rng = random.Random(6)
+    rows, label = [], []
+    for i in range(5200):
+        lang = "en" if i < 3000 else "de" if i < 5000 else "fr"
+        bad = rng.random() < 0.1
+        words = [rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(10**6)) for _ in range(40)]
+        if bad or (lang == "de" and rng.random() < 0.0005):
+            words = [rng.choice("#$%|") * rng.randrange(3) + w for w in words]
+        rows.append((i, "\n".join(" ".join(words[k : k + 8]) for k in range(0, 40, 8)), lang))
+        label += [(i, int(not bad))] * rng.randrange(1, 3)
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(label, "doc_id long, quality int")
+    good = {k for k, q in label if q == 1}
+
+    def rejected_at(text):
+        n_words, word_chars, n_symbols, n_dup, n_repeat = brute_features(text)
+        ratio = {"symbols": n_symbols / n_words, "dup_lines": n_dup / (text.count("\n") + 1), "repeats": n_repeat / n_words, "word_length": word_chars / n_words}
+        return next((i for i, (r, c) in enumerate(quality.PATH, 1) if ratio[r] > c), len(quality.PATH) + 1)
+
+    at = {k: rejected_at(t) for k, t, _ in rows}
+    step = {}
+    for lang in ("en", "de", "fr"):
+        mine = [at[k] for k, _, g in rows if g == lang and k in good]
+        step[lang] = 0
+        while step[lang] < len(quality.PATH):
+            k = sum(a <= step[lang] + 1 for a in mine)
+            if k > len(mine) * quality.RISK:
+                break
+            bound = sum(math.comb(len(mine), i) * quality.RISK**i * (1 - quality.RISK) ** (len(mine) - i) for i in range(k + 1))
+            if bound > quality.DELTA / 3:
+                break
+            step[lang] += 1
+    assert step["en"] > 0 and step["de"] > 0 and step["fr"] == 0
+    kept = {r["doc_id"]: r["kept"] for r in quality.rate(docs, labels).collect()}
+    assert kept == {k: at[k] > step[lang] for k, _, lang in rows}
+    assert not all(kept.values()) and quality.cutoffs_of(0) == {} and set(quality.cutoffs_of(len(quality.PATH))) == set(quality.RULES)
+
+
+def test_url_cascade_in_shards(spark):
+    universe = spark.range(6_000).select(F.concat(F.lit("h"), F.col("id")).alias("key"))
+    member = F.pmod(F.xxhash64("key"), F.lit(5)) == 0
+    cascade = urls.build(universe.where(member), universe, max_bits=8_000)
+    assert len(cascade.shards) > 1 and all(s.bits <= 8_000 + 64 for s in cascade.shards)
+    assert universe.where(cascade.holds(F.col("key")) != member).isEmpty()
+    pages = universe.select(F.concat(F.lit("x://"), F.col("key"), F.lit("/a")).alias("url"), F.col("key").alias("listed")).unionByName(spark.createDataFrame([(None, None)], "url string, listed string"))
+    out = urls.judge(pages, cascade)
+    assert out.where((F.col("verdict") == "block") != F.coalesce(F.pmod(F.xxhash64("host"), F.lit(5)) == 0, F.lit(False))).where("host <> ''").isEmpty() and out.count() == 6_001
+
+
+def test_guess_cost_matches_all_segmentations():
+    """The dynamic programme against a search through every segmentation, with segment costs written anew."""
+    ranks = {"cat": 3, "dog": 50, "catdog": 9000, "pass": 7}
+    leet = {"@": "a", "4": "a", "3": "e", "0": "o", "1": "i", "5": "s", "$": "s", "!": "i", "7": "t"}
+    rows = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
+    near = {(a, b) for r in rows for a, b in zip(r, r[1:])} | {(a, b) for r, s in zip(rows, rows[1:]) for a, b in zip(r, s)}
+
+    def kinds(v):
+        low = v.lower()
+        plain = "".join(leet.get(c, c) for c in low)
+        rank = ranks.get(low) or (plain != low and 2 * ranks.get(plain, 0))
+        if len(v) >= 3:
+            if rank:
+                yield math.log10(rank + 1) + (0 if v == low else math.log10(2) if v in (low.title(), low.upper()) else math.log10(2) * len(v) / 2)
+            if len(set(v)) == 1:
+                yield math.log10(12 * len(v))
+            if all((a, b) in near or (b, a) in near for a, b in zip(low, low[1:])):
+                yield math.log10(40 * len(v))
+            if len({ord(b) - ord(a) for a, b in zip(v, v[1:])}) == 1 and abs(ord(v[1]) - ord(v[0])) == 1:
+                yield math.log10(8 * len(v))
+
+    def brute(c):
+        one = 1 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(33)
+        return one + (math.log10(2) if c.isalpha() and c != c.lower() else 0)
+
+    def least(v, at=0):
+        if at == len(v):
+            return 0.0
+        found = [brute(v[at]) + least(v, at + 1)]
+        for end in range(at + 3, len(v) + 1):
+            found += [cost + (math.log10(2) if at else 0) + least(v, end) for cost in kinds(v[at:end])]
+        return min(found)
+
+    rng = random.Random(9)
+    parts = ["cat", "Dog", "c@t", "aaa", "qwe", "abc", "x", "Q", "!", "9", "pass", "d0g", "321"]
+    for _ in range(300):
+        value = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 4)))
+        if not re.search(r"(19|20)\d\d", value):
+            assert abs(secrets.guess_cost(value, ranks) - least(value)) < 1e-9, value
+
+
+def test_corpus_ranks_and_clashing_columns(spark):
+    texts = ["the the THE cat", "cat dog; a b\u00e4r", None, "", "xx " * 5, "password the"]
+    df = spark.createDataFrame([(i, t, "a", "b") for i, t in enumerate(texts)], "doc_id long, text string, __text string, _text string")
+    ranks = secrets.corpus_ranks(df)
+    assert (ranks["the"], ranks["cat"], ranks["b\u00e4r"]) == (1, 2, 3) and "xx" not in ranks and ranks["password"] == 1
+    assert len(secrets.corpus_ranks(df, most=1)) == len(secrets._RANK)
+    assert secrets.find_secrets(df, ranks=ranks).columns == [*df.columns, "spans"]
+    assert langid.predict(df, langid.learn(df.withColumn("lang", F.lit("en")))).count() == len(texts)
+    assert bpe.decode(bpe.encode(df.withColumn("__ids", F.lit(1)), PATH), PATH).count() == len(texts)
+
+
+def test_chat_arguments_have_their_types(spark):
+    args = {"i": "-007", "n": "1.500e+03", "b": "true", "s": "12", "x": "1"}
+    calls = spark.createDataFrame([(1, "a", "f", args, []), (1, "b", "f", {"i": "1.5", "n": None, "b": "yes"}, []), (1, "c", "g", {}, [])], "conv_id long, call_id string, name string, args map<string,string>, after array<string>")
+    schemas = spark.createDataFrame([("f", "i", "integer", False, None), ("f", "n", "number", False, None), ("f", "b", "boolean", False, None), ("f", "s", "string", False, None)], chat.SCHEMA_TYPE)
+    out = {r["call_id"]: r for r in chat.checked(calls, schemas).collect()}
+    assert out["a"]["arguments"] == '{"b":true,"i":-7,"n":1.5e3,"s":"12","x":"1"}' and out["a"]["errors"] == ["unexpected x"]
+    assert out["b"]["arguments"] == '{"b":"yes","i":"1.5","n":null}' and out["c"]["arguments"] == "{}"
+    numbers = ["0", "-0", "-0.0", "00.10", "10", "100", "1e5", "1E-05", "0.0e7", "5e00", "12.340", "-1.0", "0e9"]
+    df = spark.createDataFrame([(n,) for n in numbers], "n string").select("n", chat.json_number(F.col("n")).alias("c"))
+    got = {r["n"]: r["c"] for r in df.collect()}
+    assert got == {"0": "0", "-0": "0", "-0.0": "0", "00.10": "0.1", "10": "10", "100": "100", "1e5": "1e5", "1E-05": "1e-5", "0.0e7": "0", "5e00": "5", "12.340": "12.34", "-1.0": "-1", "0e9": "0"}
+    assert all(json.loads(c) == float(n) for n, c in got.items())
+
+
+def test_chat_answers_are_whole_and_in_order(spark):
+    calls = spark.createDataFrame([(1, "a"), (1, "b"), (None, "a")], "conv_id long, call_id string")
+    results = spark.createDataFrame([(1, "a", "z"), (1, "a", None), (1, "a", "b"), (1, "b", "q"), (2, "a", "lost"), (1, None, "lost"), (1, "a", "b")], "conv_id long, call_id string, content string")
+    got = sorted((r["call_id"], r["number"], r["content"] or "", r["message"]) for r in chat.answers(calls, results).collect())
+    assert [g[:3] for g in got] == [("a", 0, ""), ("a", 1, "b"), ("a", 2, "b"), ("a", 3, "z"), ("b", 0, "q")]
+    assert got[0][3] == '{"id":"a","number":0,"result":null}'
+
+
 if __name__ == "__main__":
     pytest.main([__file__, "-x", "-q"])
