@@ -1,9 +1,9 @@
 """A corpus pipeline of five stages over documents (doc_id, text, lang, source, n_chars).
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; run() writes each stage's output as
-Parquet in the shared folder and reads it again. A doc_id names one document. Rows without one are documents of their own, but for
-repeats of a whole text, of which near-dedup keeps one. Other columns of documents come along, whatever their names. Empty documents give an empty
-result, and so do null or empty texts: the first stage rejects them, as they have too few words.
+Parquet in the shared folder and reads it again. Every row is a document of its own, whatever its doc_id: rows without one, or that
+share one, get keys of their own where a stage needs them. Other columns of documents come along, whatever their names. Empty documents
+give an empty result, and so do null or empty texts: the first stage rejects them, as they have too few words.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkgrove.llm import bpe, minhash, mixing, quality, secrets
-from sparkgrove.llm.common import cut, fresh, table
+from sparkgrove.llm.common import cut, fresh, row_keys, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -25,26 +25,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each class of near-duplicates; one row of each doc_id, and of each text without one."""
-    named = docs.where("doc_id is not null")
-    first = minhash.near_duplicates(named.select("doc_id", "text")).where("is_first").select("doc_id")
-    once = named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.select(*docs.columns).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    """One row of each class of near-duplicates: the one with the least doc_id, null first; of rows that share a doc_id none comes before others."""
+    (key,) = fresh(docs, "key")
+    rows = row_keys(docs, key)
+    first = minhash.near_duplicates(rows.select(key, "text"), key=key).where("is_first").select(key)
+    return rows.join(first, key, "left_semi").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret in the text replaced by a mark; n_chars follows the text."""
     (spans,) = fresh(docs, "spans")
-    clean = secrets.redact(secrets.find_secrets(docs, spans=spans), spans=spans)
+    clean = secrets.redact(secrets.find_secrets(docs, spans=spans, ranks=secrets.corpus_ranks(docs)), spans=spans)
     return clean.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice. Rows that repeat a doc_id are taken alike."""
+    """Each document as often as the mix takes it: not at all, once or twice."""
     key, copies, number = fresh(docs, "key", "copies", "number")
-    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256))))
-    taken = mixing.mix(keyed, key=key).groupBy(key).agg(F.min("copies").alias(copies)).where(F.col(copies) > 0)
-    return keyed.join(taken, key).withColumn(number, F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
+    rows = row_keys(docs, key)
+    taken = mixing.mix(rows, key=key).select(key, F.col("copies").alias(copies)).where(F.col(copies) > 0)
+    return rows.join(taken, key).withColumn(number, F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
