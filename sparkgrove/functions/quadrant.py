@@ -159,13 +159,19 @@ def from_linear_id128(id_: Column, level) -> Cell:
     return Cell(tuple(shl(_squeeze(ushr(id_["lo"].bitwiseAND(F.lit((1 << 63) - 1)), i), 3).bitwiseOR(shl(_squeeze(ushr(high, i), 3), 21)), n) for i in range(3)), _int(level))
 
 
+def _decoded(index: Column, level: Column, dim: int) -> Cell:
+    """from_linear_id() with the index computed once: otherwise every bit of the result would repeat its whole expression."""
+    found = F.get(F.transform(F.array(index), lambda v: packed(from_linear_id(v, level, dim))), 0)
+    return unpacked(found, dim)
+
+
 def successor(q: Cell) -> Cell:
     """Next cell of the same level in Morton order."""
-    return from_linear_id(linear_id(q, q.level) + 1, q.level, q.dim)
+    return _decoded(linear_id(q, q.level) + 1, q.level, q.dim)
 
 
 def predecessor(q: Cell) -> Cell:
-    return from_linear_id(linear_id(q, q.level) - 1, q.level, q.dim)
+    return _decoded(linear_id(q, q.level) - 1, q.level, q.dim)
 
 
 def seed(q: Cell, tree=None) -> Column:

@@ -7,6 +7,7 @@ layers high (roots at zlevel 0 follow each other).
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
 from dataclasses import dataclass, replace
 
@@ -17,7 +18,7 @@ from ..functions import quadrant as Q
 from ..plans.lineage import cut, ranked
 from ..sources.topology import Topology
 from . import adjacency
-from .forest import Forest, Predicate, adler_combine, containing, key_names, sort_keys, with_rank
+from .forest import Forest, Predicate, adler_combine, containing, key_names, small, sort_keys, with_rank
 
 COLUMN = key_names(2)
 
@@ -180,17 +181,19 @@ class Columns:
         frame = cut(self.numbered())
         n = frame.count()
         wanted = [n * p // ranks for p in range(ranks + 1)]
-        spans = frame.groupBy(*COLUMN).agg(F.min("gid").alias("lo"), F.max("gid").alias("hi"))
-        inner = sorted({g for g in wanted[1:-1] if g < n})
-        hit = spans.where(functools.reduce(Column.__or__, [(F.col("lo") < g) & (F.col("hi") >= g) for g in inner], F.lit(False))).select("lo", "hi").collect()  # at most one column a cut
-        firsts = [next((r["lo"] for r in hit if r["lo"] < g <= r["hi"]), g) for g in wanted]
+        marks = frame.sparkSession.createDataFrame([(g,) for g in sorted(set(wanted[1:-1]))], "gid long")
+        at = frame.join(small(marks, ranks), "gid").select("gid", *COLUMN)  # the layer at each cut, and the first one of its column
+        start = frame.join(at.select(*COLUMN).distinct(), COLUMN, "left_semi").groupBy(*COLUMN).agg(F.min("gid").alias("lo"))
+        moved = {r["gid"]: r["lo"] for r in at.join(start, COLUMN).select("gid", "lo").collect()}
+        firsts = [0, *[moved.get(g, g) for g in wanted[1:-1]], n]
         return with_rank(frame, firsts), firsts
 
     def column_cuts(self, layer_cuts: list[int]) -> list[int]:
         """Cuts between columns that belong to cuts between layers: the number of columns that start before each."""
         per = self.numbered().groupBy(*COLUMN).agg(F.min("gid").alias("lo"))
-        counts = per.agg(*[F.count_if(F.col("lo") < g).alias(f"c{i}") for i, g in enumerate(layer_cuts)]).first()
-        return list(counts)
+        before = with_rank(per.where(F.col("lo") < layer_cuts[-1]), [0, *layer_cuts], "lo")
+        found = {r["rank"]: r["n"] for r in before.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one row a cut
+        return list(itertools.accumulate(found.get(p, 0) for p in range(len(layer_cuts))))
 
     def checksum(self) -> int:
         """Adler-32 of the columns, then of all layers' (z, zlevel) in order, combined."""

@@ -13,7 +13,6 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import quadrant as Q
@@ -187,20 +186,20 @@ class Forest:
         One sweep over levels of internal nodes, finest first: each asks for the parents of its same-size neighbours. New
         leaves inherit the payload of the leaf that held them, or get replace_payload.
         """
-        inner = cut(self.internal())
-        levels = [r[0] for r in inner.select("level").distinct().collect()]
-        top = max(levels, default=-1)
-        parts, asked = [], None
-        for level in range(top, -1, -1):
-            nodes = inner.where(f"level = {level}")
-            if asked is not None:
-                nodes = nodes.unionByName(asked).distinct()
-            nodes = cut(nodes)
-            parts.append(nodes)
-            if level:
-                near = same_size_neighbors(nodes, self.topology, kind, across_trees).drop("way")
-                up = Q.parent(Q.cell(self.dim))
-                asked = near.select("tree", *Q.columns(up)).unionByName(nodes.select("tree", *Q.columns(up))).distinct()
+        base = Forest(self.topology, cut(self.leaves))
+        inner = cut(base.internal())
+        top = max(levels_of(inner), default=-1)
+        parts, nodes = [], None
+        for high in range(top, -1, -STEPS):
+            # levels high, high - 1, ... in one job: each follows from the one before, whose shuffle is reused
+            chain = []
+            for level in range(high, max(-1, high - STEPS), -1):
+                here = inner.where(f"level = {level}")
+                nodes = here if nodes is None else here.unionByName(self._asked(nodes, kind, across_trees)).distinct()
+                chain.append(nodes)
+            done = cut(functools.reduce(DataFrame.unionByName, chain))
+            parts.append(done)
+            nodes = done.where(F.col("level") == max(0, high - STEPS + 1))
         if not parts:
             return self
         split = functools.reduce(DataFrame.unionByName, parts)
@@ -210,12 +209,18 @@ class Forest:
         if not self.payload:
             out = cells
         else:
-            same = cells.join(self.leaves, self.keys)
-            fresh = cells.join(self.leaves.select(*self.keys), self.keys, "left_anti")
-            given = inherit(fresh, self.leaves, self.dim)
+            same = cells.join(base.leaves, self.keys)
+            fresh = cells.join(base.leaves.select(*self.keys), self.keys, "left_anti")
+            given = inherit(fresh, base.leaves, self.dim)
             out = same.unionByName(given.withColumns(replace_payload) if replace_payload else given)
         out = cut(out)
-        return self.changed(out, out.count() != self.leaves.count())
+        return self.changed(out, out.count() != base.leaves.count())
+
+    def _asked(self, nodes: DataFrame, kind: str, across_trees: bool) -> DataFrame:
+        """Parents of internal nodes of one level and of their same-size neighbours: internal nodes of the balanced forest too."""
+        up = Q.parent(Q.cell(self.dim))
+        near = same_size_neighbors(nodes, self.topology, kind, across_trees).drop("way")
+        return near.select("tree", *Q.columns(up)).unionByName(nodes.select("tree", *Q.columns(up)))
 
     # --- order, partition and checks -----------------------------------------------------------------------------------------
     def numbered(self, weight: Column | None = None) -> DataFrame:
@@ -256,10 +261,11 @@ class Forest:
             return list(firsts)
         frame = self.numbered()
         up = Q.parent(Q.cell(self.dim))
+        marks = self.spark.createDataFrame([(int(g),) for g in sorted(set(firsts[1:-1]))], "g long")
         fam = frame.where("level > 0").groupBy("tree", *[c.alias(a) for c, a in zip(up.xyz, Q.axes(self.dim))], "level").agg(F.min("gid").alias("lo"), F.count(F.lit(1)).alias("n")).where(f"n = {1 << self.dim}")
-        inner = sorted({g for g in firsts[1:-1]})
-        hit = fam.where(functools.reduce(Column.__or__, [(F.col("lo") < g) & (F.col("lo") + F.col("n") > g) for g in inner])).select("lo", "n").collect()  # at most one family a cut
-        moved = {g: r["lo"] if r["lo"] + r["n"] - g > g - r["lo"] else r["lo"] + r["n"] for r in hit for g in inner if r["lo"] < g < r["lo"] + r["n"]}
+        inside = fam.select("lo", "n", F.explode(F.sequence(F.col("lo") + 1, F.col("lo") + F.col("n") - 1)).alias("g"))
+        hit = inside.join(small(marks, len(firsts)), "g").collect()  # at most one family a cut
+        moved = {r["g"]: r["lo"] if r["lo"] + r["n"] - r["g"] > r["g"] - r["lo"] else r["lo"] + r["n"] for r in hit}
         return [moved.get(g, g) for g in firsts]
 
     def checksum(self) -> int:
@@ -300,18 +306,22 @@ class Forest:
         return self.leaves.groupBy("tree", "level").agg(F.count(F.lit(1)).alias("n"))
 
     def validity(self) -> dict[str, int]:
-        """Numbers of leaves that break an invariant: invalid cells, unknown trees, overlaps or gaps behind a leaf, trees that do not fill."""
-        q = Q.cell(self.dim)
-        # volumes in units of the finest leaf of the forest add up to a whole tree; a window keyed by tree sees order
-        bad = self.leaves.agg(F.count_if(~F.coalesce(Q.is_valid(q), F.lit(False))).alias("invalid"), F.count_if(~F.col("tree").between(0, self.topology.n - 1)).alias("unknown_trees"), F.max("level").alias("top")).first()
-        order = W.partitionBy("tree").orderBy(Q.morton(q), "level")
-        lead = self.leaves.select("tree", *[F.lead(c).over(order).alias(f"n{c}") for c in self.keys[1:]], *self.keys[1:])
+        """Numbers of leaves that break an invariant: invalid cells, unknown trees, overlaps or gaps behind a leaf, and trees without a first or last cell.
+
+        Leaves are compared with the next in the global order by a join on their numbers, so no tree is ordered in one task.
+        """
+        q, n = Q.cell(self.dim), self.topology.n
+        frame = cut(self.numbered().select("gid", *self.keys))
+        first, last = F.lit(True), F.lit(True)
+        for c in q.xyz:
+            first, last = first & (c == 0), last & (c + Q.length(q.level) == Q.ROOT)
+        bad = frame.agg(F.count_if(~F.coalesce(Q.is_valid(q), F.lit(False))).alias("invalid"), F.count_if(~F.coalesce(F.col("tree").between(0, n - 1), F.lit(False))).alias("unknown_trees"), F.max("level").alias("top")).first()
+        following = frame.select((F.col("gid") - 1).alias("gid"), *[F.col(c).alias(f"n{c}") for c in self.keys])
         nxt = Q.cell(self.dim, "n")
-        broken = lead.where("nlevel is not null").agg(F.count_if(Q.overlaps(q, nxt)).alias("overlaps"), F.count_if(~Q.overlaps(q, nxt) & ~Q.is_next(q, nxt)).alias("gaps")).first()
-        top = bad["top"] or 0
-        volume = self.leaves.groupBy("tree").agg(F.sum(F.pow(F.lit(2.0), -self.dim * F.col("level"))).alias("v"))
-        full = volume.where(F.abs(F.col("v") - 1) < 1e-9).count()
-        return {"invalid": bad["invalid"], "unknown_trees": bad["unknown_trees"], "overlaps": broken["overlaps"] or 0, "gaps": broken["gaps"] or 0, "open_trees": self.topology.n - full, "top": top}
+        pair = frame.join(following, "gid").where("tree = ntree")
+        broken = pair.agg(F.count_if(Q.overlaps(q, nxt)).alias("overlaps"), F.count_if(~Q.overlaps(q, nxt) & ~Q.is_next(q, nxt)).alias("gaps")).first()
+        closed = frame.where(F.col("tree").between(0, n - 1)).groupBy("tree").agg(F.bool_or(first).alias("first"), F.bool_or(last).alias("last")).where("first and last").count()
+        return {"invalid": bad["invalid"], "unknown_trees": bad["unknown_trees"], "overlaps": broken["overlaps"] or 0, "gaps": broken["gaps"] or 0, "open_trees": n - closed, "top": bad["top"] or 0}
 
     def is_valid(self) -> bool:
         found = self.validity()
@@ -339,9 +349,19 @@ def cut_frame(spark: SparkSession, firsts: list[int]) -> DataFrame:
 
 
 def with_rank(frame: DataFrame, firsts: list[int], gid: str = "gid") -> DataFrame:
-    """frame with the rank whose range of gids holds each row; firsts: one entry a rank and the end, a literal array."""
-    cuts = F.array(*[F.lit(int(g)).cast("long") for g in firsts[1:-1]]) if len(firsts) > 2 else F.array().cast("array<long>")
-    return frame.withColumn("rank", F.size(F.filter(cuts, lambda c: c <= F.col(gid))))
+    """frame with the rank whose range of gids holds each row; firsts: one entry a rank, from 0, and the end.
+
+    An equi-join: gids and ranges meet in blocks of the mean length of a range. Ranges lie in at most two blocks each on average, so a row
+    compares with about two ranges. Rows beyond the end get the last rank.
+    """
+    ranks = len(firsts) - 1
+    spans = [(p, firsts[p], firsts[p + 1] if p + 1 < ranks else None) for p in range(ranks) if firsts[p] < firsts[p + 1] or p + 1 == ranks]
+    step = max(1, -(-firsts[-1] // max(1, ranks)))
+    rows = [(b, p, lo, hi) for p, lo, hi in spans for b in range(lo // step, (firsts[-1] if hi is None else hi - 1) // step + 1)]
+    table = frame.sparkSession.createDataFrame(rows, "__block long, rank int, __lo long, __hi long")
+    block = F.least(F.floor(F.col(gid) / step), F.lit(firsts[-1] // step))
+    inside = (F.col(gid) >= F.col("__lo")) & (F.col("__hi").isNull() | (F.col(gid) < F.col("__hi")))
+    return frame.withColumn("__block", block).join(small(table, len(rows)), "__block").where(inside).drop("__block", "__lo", "__hi")
 
 
 def same_size_neighbors(frame: DataFrame, topology: Topology, kind: str, across_trees: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:

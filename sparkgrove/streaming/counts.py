@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import quadrant as Q
 from ..operators.search import locate
@@ -35,6 +36,6 @@ def run_once(spark: SparkSession, path: str, leaves: DataFrame, place) -> DataFr
 
     run = found.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{where}/state").foreachBatch(put).start()
     run.awaitTermination()
-    out = spark.read.schema(found.schema.add("batch", "integer")).parquet(f"{where}/out")
     keys = [c for c in found.columns if c != "n"]
+    out = spark.read.schema(T.StructType([*found.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{where}/out")
     return out.groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))  # the last update of a window counts
