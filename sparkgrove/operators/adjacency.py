@@ -82,6 +82,8 @@ def faces(leaves: DataFrame, topology: Topology) -> DataFrame:
     glue = [(t, f, *v) for (t, f), v in topology.faces.items()]
     conn = small(leaves.sparkSession.createDataFrame(glue, "tree long, face int, t_ntree long, t_nface int, t_orient int"), len(glue))
     side = side.join(conn, ["tree", "face"], "left").join(met, ["gid", "face"], "left")
+    # a larger leaf's own side of a hanging face has no row: its small neighbours have one each
+    side = side.where(F.col("ngid").isNotNull() | (F.col("tree_boundary") & F.col("t_ntree").isNull()))
     inner = F.col("ngid").isNotNull()
     nface = F.when(F.col("tree_boundary"), F.col("t_nface")).otherwise(F.col("face").bitwiseXOR(1))
     orient = F.when(F.col("tree_boundary"), F.col("t_orient")).otherwise(0)
@@ -177,8 +179,7 @@ def mesh(leaves: DataFrame, topology: Topology) -> DataFrame:
     up = f.select("gid", "face", F.array(F.coalesce("ngid", F.col("gid"))).alias("neighbors"), F.when(F.col("hanging"), kinds * (1 + sub) + base).otherwise(base).cast("int").alias("code"))
     # the large leaf's own side: at most 2**(dim - 1) small leaves each
     down = f.where("hanging").groupBy(F.col("ngid").alias("gid"), F.col("nface").alias("face")).agg(F.sort_array(F.collect_list("gid")).alias("neighbors"), F.first(2 * dim * F.col("orient") + F.col("face") - kinds).cast("int").alias("code"))
-    full = f.where("ngid is not null or tree_boundary").join(down.select("gid", "face"), ["gid", "face"], "left_anti").select("gid", "face")
-    return up.join(full, ["gid", "face"], "left_semi").unionByName(down)
+    return up.unionByName(down)
 
 
 # --- ghost layers -------------------------------------------------------------------------------------------------------------

@@ -359,3 +359,12 @@ def column_refinement(spark, sf_dir):
 
 # --- SQL of earlier queries ------------------------------------------------------------------------------------------------------------------
 ORACLE["stream_counts"] = f"WITH {_LEAF} SELECT CAST(0 AS BIGINT) AS tree, x << 18 AS x, y << 18 AS y, level, date_trunc('hour', ts) AS start, count(*) AS n FROM pts JOIN events USING (event_id) JOIN leaf ON px >> (12 - level) = cx AND py >> (12 - level) = cy GROUP BY ALL"
+
+_CYCLE = f"""{points_sql(2)}, d2(dx, dy) AS (VALUES (0, 0), (1, 0), (0, 1), (1, 1)), {_D9},
+ g AS (SELECT a.range AS cx, b.range AS cy, coalesce(n, 0) AS n FROM range(0, 16) a, range(0, 16) b LEFT JOIN (SELECT p0 >> 8 AS px, p1 >> 8 AS py, count(*) AS n FROM pts GROUP BY ALL) ON px = a.range AND py = b.range),
+ m AS (SELECT avg(n) AS mean FROM g), fam AS (SELECT cx >> 1 AS fx, cy >> 1 AS fy FROM g, m GROUP BY ALL HAVING bool_and(n <= mean / 2)),
+ leaf AS (SELECT 5 AS level, 2 * cx + dx AS cx, 2 * cy + dy AS cy FROM g, m, d2 WHERE n > mean UNION ALL SELECT 3, fx, fy FROM fam
+   UNION ALL SELECT 4, cx, cy FROM g, m WHERE n <= mean AND NOT EXISTS (SELECT 1 FROM fam WHERE fx = cx >> 1 AND fy = cy >> 1)),
+ s(level, cx, cy) AS (SELECT DISTINCT level - 1, cx >> 1, cy >> 1 FROM leaf UNION SELECT level - 1, (cx + dx) >> 1, (cy + dy) >> 1 FROM s, d9 WHERE level > 0 AND cx + dx BETWEEN 0 AND (1 << level) - 1 AND cy + dy BETWEEN 0 AND (1 << level) - 1),
+ bk AS (SELECT level + 1 AS level, 2 * cx + dx AS cx, 2 * cy + dy AS cy FROM s, d2)"""
+ORACLE["adapt_cycle"] = f"WITH RECURSIVE {_CYCLE} SELECT CAST(0 AS BIGINT) AS tree, cx << (30 - level) AS x, cy << (30 - level) AS y, CAST(level AS INTEGER) AS level, CAST(CASE WHEN level > 4 THEN 1 ELSE -1 END AS INTEGER) AS change FROM bk ANTI JOIN s USING (level, cx, cy) WHERE level <> 4"
