@@ -514,6 +514,22 @@ def shift_corner(q: Cell, corner: int) -> Cell:
     return ancestor(q, deepest)
 
 
+def shift_edge(q: Cell, edge: int) -> Cell:
+    """The finest ancestor of q (or q) that touches the root's octant edge from inside."""
+    deepest = F.greatest(*[F.when((q.level >= k) & touches_edge(ancestor(q, k), edge), F.lit(k)).otherwise(F.lit(0)) for k in range(QMAX + 1)])
+    return ancestor(q, deepest)
+
+
+def overlaps_range(q: Cell, first: Cell, last: Cell) -> Column:
+    """Does q meet the Morton range of two cells of the finest level, such as a rank's part of a tree?"""
+    return (compare(last_descendant(q), first) >= 0) & (compare(q, last) <= 0)
+
+
+def is_inside_range(q: Cell, first: Cell, last: Cell) -> Column:
+    """Does q lie in the Morton range of two cells of the finest level?"""
+    return (compare(first_descendant(q), first) >= 0) & (compare(last_descendant(q), last) <= 0)
+
+
 def neighbors(q: Cell, kind: str) -> list[Cell]:
     """Same-size neighbours of kind face, edge (faces and edges) or corner (all 3**dim - 1)."""
     most = {"face": 1, "edge": min(2, q.dim), "corner": q.dim}[kind]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import quadrant as Q
 from ..plans.lineage import cut
 from ..sources.topology import Topology
-from .forest import Forest, containing, key_names, same_size_neighbors, small
+from .forest import Forest, containing, folded, key_names, same_size_neighbors, small
 
 
 def pairs(leaves: DataFrame, topology: Topology, kind: str = "corner", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -201,6 +201,55 @@ def expand_ghosts(ghost: DataFrame, ranked_leaves: DataFrame, topology: Topology
     return ghost.unionByName(more).distinct()
 
 
+def ghosts_by_nodes(element_nodes: DataFrame, ranked_leaves: DataFrame, ghost: DataFrame | None = None) -> DataFrame:
+    """rank, owner, gid: leaves of other ranks that use a node that a rank's own leaves use; with a ghost layer, the layer and all that use a node of it or of their own.
+
+    element_nodes: gid and node_id of nodes.number(). A node has a bounded number of elements, so the join on nodes is linear.
+    """
+    at = element_nodes.select("gid", "node_id").join(ranked_leaves.select("gid", "rank"), "gid")
+    mine = at.select("rank", "node_id")
+    if ghost is not None:
+        mine = mine.unionByName(ghost.select("rank", "gid").join(element_nodes.select("gid", "node_id"), "gid").select("rank", "node_id"))
+    met = mine.distinct().join(at.select("node_id", "gid", F.col("rank").alias("owner")), "node_id").where("rank <> owner").select("rank", "owner", "gid")
+    return (met if ghost is None else met.unionByName(ghost.select("rank", "owner", "gid"))).distinct()
+
+
+def ghost_problems(ghost: DataFrame, ranked_leaves: DataFrame) -> dict[str, int]:
+    """Numbers of ghosts that are listed twice, that their own rank holds, that are no leaves, and whose owner is another rank."""
+    found = ghost.join(ranked_leaves.select("gid", F.col("rank").alias("real")), "gid", "left")
+    seen = found.agg(F.count_if(F.col("rank") == F.col("owner")).alias("own"), F.count_if(F.col("real").isNull()).alias("unknown"), F.count_if(F.col("real") != F.col("owner")).alias("misplaced")).first()
+    twice = ghost.groupBy("rank", "gid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").count()
+    return {"twice": twice, **seen.asDict()}
+
+
+def ghost_checksum(ghost: DataFrame, leaves: DataFrame, dim: int) -> int:
+    """Adler-32 of all ranks' ghost cells in the order of rank and gid. leaves: cells with gid."""
+    cells = ghost.select("rank", "gid").join(leaves.select("gid", *key_names(dim)), "gid")
+    return folded(cells, dim, [F.col("rank"), F.col("gid")])
+
+
+def trees_of_ranks(ranked_leaves: DataFrame, dim: int) -> DataFrame:
+    """rank, tree, first and last gid of each rank's part of a tree, and whether it holds the tree's begin and end."""
+    q = Q.cell(dim)
+    begin, end = F.lit(True), F.lit(True)
+    for c in q.xyz:
+        begin, end = begin & (c == 0), end & (c + Q.length(q.level) == Q.ROOT)
+    return ranked_leaves.groupBy("rank", "tree").agg(F.min("gid").alias("first"), F.max("gid").alias("last"), F.bool_or(begin).alias("has_begin"), F.bool_or(end).alias("has_end"))
+
+
+def owned_neighborhoods(ranked_leaves: DataFrame, topology: Topology, kind: str = "corner") -> DataFrame:
+    """gid, rank, owned: whether all leaves that touch a leaf belong to its rank."""
+    met = both_ways(pairs(ranked_leaves, topology, kind, ("rank",)), ("rank",))
+    foreign = met.where("rank <> nrank").select("gid").distinct().withColumn("owned", F.lit(False))
+    return ranked_leaves.select("gid", "rank").join(foreign, "gid", "left").withColumn("owned", F.coalesce("owned", F.lit(True)))
+
+
+def neighbor_data(meshed: DataFrame, data: DataFrame) -> DataFrame:
+    """gid, face, position, neighbor and the columns of data (by gid) of every neighbour in a mesh, ghosts included."""
+    each = meshed.select("gid", "face", F.posexplode("neighbors").alias("position", "neighbor"))
+    return each.join(data.withColumnRenamed("gid", "neighbor"), "neighbor").select("gid", "face", "position", "neighbor", *[c for c in data.columns if c != "gid"])
+
+
 def exchange(ghost: DataFrame, data: DataFrame, min_level: int | None = None, max_level: int | None = None) -> DataFrame:
     """ghost with the columns of data (by gid, and of its level if limits are given): what the holders receive."""
     if min_level is not None or max_level is not None:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import zlib
 from dataclasses import dataclass, replace
 
@@ -176,17 +177,36 @@ class Columns:
         """Layers with gid in the order (column, z)."""
         return ranked(self.layers, [*sort_keys(2), F.col("z")], "gid")
 
-    def partition(self, ranks: int) -> tuple[DataFrame, list[int]]:
-        """Layers with gid and rank in near-equal numbers of layers, with cuts moved so that no column is split: to the start of the column."""
-        frame = cut(self.numbered())
+    def partition(self, ranks: int, weight: Column | None = None) -> tuple[DataFrame, list[int]]:
+        """Layers with gid and rank in near-equal numbers (or weights) of layers, with cuts moved so that no column is split: to the start of the column."""
+        frame = self.layers if weight is None else self.layers.withColumn("__w", weight)
+        frame = cut(ranked(frame, [*sort_keys(2), F.col("z")], "gid", None if weight is None else "__w"))
         n = frame.count()
         wanted = [n * p // ranks for p in range(ranks + 1)]
+        total = None if weight is None else frame.agg(F.max("gid_weight")).first()[0]
+        if total:
+            reach = F.least(F.lit(ranks), F.floor(F.col("gid_weight") * ranks / F.lit(total))).cast("int")
+            starts = sorted((r["r"], r["g"]) for r in frame.groupBy(reach.alias("r")).agg(F.min("gid").alias("g")).collect())
+            wanted = [0, *[next((g for r, g in starts if r >= p), n) for p in range(1, ranks)], n]
+        frame = frame.drop("__w", "gid_weight")
+        firsts = self._column_starts(frame, wanted)
+        return with_rank(frame, firsts), firsts
+
+    def partition_given(self, counts: list[int]) -> tuple[DataFrame, list[int]]:
+        """Layers with gid and the rank of prescribed numbers of layers; cuts inside a column move to its start. ValueError if the numbers do not add up."""
+        frame = cut(self.numbered())
+        wanted = [0, *itertools.accumulate(counts)]
+        if wanted[-1] != frame.count():
+            raise ValueError("counts do not add up to the number of layers")
+        firsts = self._column_starts(frame, wanted)
+        return with_rank(frame, firsts), firsts
+
+    def _column_starts(self, frame: DataFrame, wanted: list[int]) -> list[int]:
         marks = frame.sparkSession.createDataFrame([(g,) for g in sorted(set(wanted[1:-1]))], "gid long")
-        at = frame.join(small(marks, ranks), "gid").select("gid", *COLUMN)  # the layer at each cut, and the first one of its column
+        at = frame.join(small(marks, len(wanted)), "gid").select("gid", *COLUMN)  # the layer at each cut, and the first one of its column
         start = frame.join(at.select(*COLUMN).distinct(), COLUMN, "left_semi").groupBy(*COLUMN).agg(F.min("gid").alias("lo"))
         moved = {r["gid"]: r["lo"] for r in at.join(start, COLUMN).select("gid", "lo").collect()}
-        firsts = [0, *[moved.get(g, g) for g in wanted[1:-1]], n]
-        return with_rank(frame, firsts), firsts
+        return [0, *[moved.get(g, g) for g in wanted[1:-1]], wanted[-1]]
 
     def column_cuts(self, layer_cuts: list[int]) -> list[int]:
         """Cuts between columns that belong to cuts between layers: the number of columns that start before each."""
@@ -228,6 +248,33 @@ class Columns:
         inner = ranked_layers.join(column.select(*COLUMN, F.col("gid").alias("cgid")), COLUMN).select("cgid", "gid")
         return met.join(inner, "cgid").select("rank", "owner", "gid").distinct()
 
+    def expand_ghosts(self, ghost: DataFrame, ranked_layers: DataFrame, kind: str = "corner") -> DataFrame:
+        """The ghost layers and those of other ranks in columns that touch the columns of ghosts."""
+        column = cut(ranked_layers.groupBy(*COLUMN).agg(F.min("rank").alias("rank"), F.min("gid").alias("cgid")).withColumnRenamed("cgid", "gid"))
+        met = adjacency.both_ways(adjacency.pairs(column, self.topology, kind, ("rank",)), ("rank",)).select(F.col("gid").alias("from"), F.col("ngid").alias("cgid"), F.col("nrank").alias("owner"))
+        inner = cut(ranked_layers.join(column.select(*COLUMN, F.col("gid").alias("cgid")), COLUMN).select("cgid", "gid"))
+        held = ghost.select("rank", "gid").join(inner, "gid").select("rank", F.col("cgid").alias("from")).distinct()
+        more = held.join(met, "from").where("rank <> owner").select("rank", "owner", "cgid").distinct().join(inner, "cgid").select("rank", "owner", "gid")
+        return ghost.unionByName(more).distinct()
+
+    def save(self, path: str) -> None:
+        """A folder of Parquet layers in order, the topology, and the height in roots."""
+        from ..sources.meshfiles import Output
+
+        ranged = self.layers.repartitionByRange(*sort_keys(2)[:2]).sortWithinPartitions(*sort_keys(2), "z")
+        ranged.write.mode("overwrite").parquet(f"{path}/layers")
+        with Output(self.layers.sparkSession, f"{path}/topology.bin") as out:
+            out.write(self.topology.deflate())
+        with Output(self.layers.sparkSession, f"{path}/columns.json") as out:
+            out.write(json.dumps({"roots": self.roots}).encode())
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Columns:
+        from ..sources.meshfiles import read_bytes
+
+        top = Topology.inflate(read_bytes(spark, f"{path}/topology.bin"))
+        return Columns(top, spark.read.parquet(f"{path}/layers"), json.loads(read_bytes(spark, f"{path}/columns.json"))["roots"])
+
     def positions(self, top: DataFrame | None = None, height: float = 1.0) -> DataFrame:
         """Layers with px, py, pz of their lower corner: the tree's bilinear map at the bottom, moved towards `top` (tree, corner, vx, vy, vz) or up by height."""
         from ..functions.geometry import vertex_map

@@ -271,31 +271,9 @@ class Forest:
     def checksum(self) -> int:
         """Adler-32 of x, y[, z], level as big-endian 32-bit words in order; independent of partitioning.
 
-        3D coordinates of levels up to 18 are shifted right by 11. Each range partition folds its own rows; the driver combines
-        one value per partition.
+        3D coordinates of levels up to 18 are shifted right by 11.
         """
-        axes = Q.axes(self.dim)
-        shift = 11 if self.dim == 3 else 0
-        frame = self.leaves.repartitionByRange(*sort_keys(self.dim)[:2]).sortWithinPartitions(*sort_keys(self.dim)).select(*axes, "level", F.spark_partition_id().alias("p"))
-
-        def fold(batches):
-            adler, size, part = 1, 0, None
-            for pdf in batches:
-                if len(pdf):
-                    part = int(pdf["p"].iloc[0])
-                    level = pdf["level"].to_numpy()
-                    down = np.where(level <= 18, shift, 0)
-                    words = np.stack([pdf[a].to_numpy().astype(np.int64) >> down for a in axes] + [level], axis=1).astype(">u4").tobytes()
-                    adler, size = zlib.adler32(words, adler), size + len(words)
-            if part is not None:
-                import pandas as pd
-
-                yield pd.DataFrame({"p": [part], "adler": [adler], "size": [size]})
-
-        out = 1
-        for r in sorted(frame.mapInPandas(fold, "p int, adler long, size long").collect(), key=lambda r: r["p"]):
-            out = adler_combine(out, r["adler"], r["size"])
-        return out
+        return folded(self.leaves, self.dim, sort_keys(self.dim))
 
     def counts_by_tree(self) -> DataFrame:
         """tree, n of each tree that has leaves, and the cumulative count before it."""
@@ -344,6 +322,36 @@ def adler_combine(a: int, b: int, size: int) -> int:
     return (high % m) << 16 | low % m
 
 
+def folded(cells: DataFrame, dim: int, order: list[Column]) -> int:
+    """Adler-32 of the cells' x, y[, z], level in an order. Each range partition folds its own rows; the driver combines one value per partition."""
+    axes, shift = Q.axes(dim), 11 if dim == 3 else 0
+    frame = cells.repartitionByRange(*order).sortWithinPartitions(*order).select(*axes, "level", F.spark_partition_id().alias("p"))
+
+    def fold(batches):
+        import pandas as pd
+
+        adler, size, part = 1, 0, None
+        for pdf in batches:
+            if len(pdf):
+                part = int(pdf["p"].iloc[0])
+                level = pdf["level"].to_numpy()
+                down = np.where(level <= 18, shift, 0)
+                words = np.stack([pdf[a].to_numpy().astype(np.int64) >> down for a in axes] + [level], axis=1).astype(">u4").tobytes()
+                adler, size = zlib.adler32(words, adler), size + len(words)
+        if part is not None:
+            yield pd.DataFrame({"p": [part], "adler": [adler], "size": [size]})
+
+    out = 1
+    for r in sorted(frame.mapInPandas(fold, "p int, adler long, size long").collect(), key=lambda r: r["p"]):
+        out = adler_combine(out, r["adler"], r["size"])
+    return out
+
+
+def next_nonempty(firsts: list[int], rank: int) -> int:
+    """The first rank after `rank` that has leaves, or the number of ranks; firsts: cuts, ranks + 1 entries."""
+    return next((p for p in range(rank + 1, len(firsts) - 1) if firsts[p + 1] > firsts[p]), len(firsts) - 1)
+
+
 def cut_frame(spark: SparkSession, firsts: list[int]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(firsts)), "rank int, first_gid long")
 

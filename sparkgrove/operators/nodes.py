@@ -134,6 +134,18 @@ def corner_nodes(leaves: DataFrame, topology: Topology) -> DataFrame:
     return every.join(hung, place, "left").withColumn("hanging", F.coalesce("hanging", F.lit(False)))
 
 
+def problems(element_nodes: DataFrame, made: DataFrame, leaves: DataFrame, per_element: int) -> dict[str, int]:
+    """What is wrong with a numbering of full degree: elements without all their nodes, numbers that are not 0, 1, ..., unused nodes, owners that are not the least element."""
+    n = made.count()
+    per = element_nodes.groupBy("gid").agg(F.countDistinct("pos").alias("p"))
+    short = leaves.select("gid").join(per, "gid", "left").where(F.coalesce("p", F.lit(0)) != per_element).count()
+    used = element_nodes.groupBy("node_id").agg(F.min("gid").alias("least"))
+    both = made.select("node_id", "owner").join(used, "node_id", "full")
+    seen = both.agg(F.count_if(F.col("owner").isNull()).alias("unknown"), F.count_if(F.col("least").isNull()).alias("unused"), F.count_if(F.col("owner") != F.col("least")).alias("misowned")).first()
+    gaps = n - made.where(F.col("node_id").between(0, n - 1)).select("node_id").distinct().count()
+    return {"short": short, "gaps": gaps, **seen.asDict()}
+
+
 # --- sharing values at nodes ------------------------------------------------------------------------------------------------------
 def sharers(element_nodes: DataFrame, ranked_leaves: DataFrame) -> DataFrame:
     """node_id, rank: ranks with an element that uses a node."""

@@ -301,6 +301,55 @@ def shared_nodes(spark, sf_dir):
     return held.join(made, "node_id").select(Q.shr(F.col("c_x"), Q.MAX - 12).alias("x"), Q.shr(F.col("c_y"), Q.MAX - 12).alias("y"), "rank", "owner_rank")
 
 
+@query(f"WITH {_RANKS4} SELECT r.gid, r.rank, NOT EXISTS (SELECT 1 FROM e JOIN r o ON o.gid = e.ngid WHERE e.gid = r.gid AND o.rank <> r.rank) AS owned FROM r")
+def owned_neighborhoods(spark, sf_dir):
+    """Whether all leaves around a leaf belong to its rank, of four."""
+    f = event_forest(spark, sf_dir)
+    return adjacency.owned_neighborhoods(cut(f.partition(4)[0]), f.topology)
+
+
+@query(f"WITH RECURSIVE {_MESH} SELECT m.gid, CAST(face AS INTEGER) AS face, count(*) AS neighbors, CAST(sum(b.level) AS BIGINT) AS levels FROM mesh m JOIN bl b ON list_contains(string_split(m.neighbors, ','), CAST(b.gid AS VARCHAR)) GROUP BY ALL")
+def mesh_data(spark, sf_dir):
+    """Levels of the neighbours of every face of every leaf of the balanced quadtree, summed."""
+    leaves = numbered(spark, sf_dir, balanced=True)
+    each = adjacency.neighbor_data(adjacency.mesh(leaves, T.unit(2)), leaves.select("gid", "level"))
+    return each.groupBy("gid", F.col("face").cast("int").alias("face")).agg(F.count(F.lit(1)).alias("neighbors"), F.sum("level").alias("levels"))
+
+
+_USES = f"""{_CORNER}, u AS (SELECT gid, CASE WHEN hanging THEN ((cx >> 1) + dx) << (13 - level) ELSE px END AS x, CASE WHEN hanging THEN ((cy >> 1) + dy) << (13 - level) ELSE py END AS y FROM cor JOIN hung USING (px, py)),
+ t AS (SELECT count(*) AS n FROM bl), r AS (SELECT gid, CAST((SELECT count(*) FROM range(1, 3) q(p) WHERE t.n * p // 3 <= gid) AS INTEGER) AS rank FROM bl, t), ur AS (SELECT DISTINCT x, y, gid, rank FROM u JOIN r USING (gid))"""
+
+
+@query(f"WITH RECURSIVE {_USES} SELECT DISTINCT a.rank, b.rank AS owner, b.gid FROM (SELECT DISTINCT x, y, rank FROM ur) a JOIN ur b USING (x, y) WHERE a.rank <> b.rank")
+def ghosts_by_nodes(spark, sf_dir):
+    """Leaves of other ranks, of three, that share a node with a rank's own."""
+    leaves = numbered(spark, sf_dir, balanced=True)
+    used, _ = nodes.number(leaves, T.unit(2), 1)
+    ranked = cut(Forest(T.unit(2), leaves.drop("gid")).partition(3)[0])
+    return adjacency.ghosts_by_nodes(used, ranked)
+
+
+@query(f"WITH {_LEAF}, t AS (SELECT count(*) AS n FROM leaf), r AS (SELECT leaf.gid, x, y, level, CAST((SELECT count(*) FROM range(1, 5) q(p) WHERE t.n * p // 5 <= gid) AS INTEGER) AS rank FROM leaf, t) SELECT rank, CAST(0 AS BIGINT) AS tree, min(gid) AS first, max(gid) AS last, bool_or(x = 0 AND y = 0) AS has_begin, bool_or(x + (4096 >> level) = 4096 AND y + (4096 >> level) = 4096) AS has_end FROM r GROUP BY rank")
+def trees_of_ranks(spark, sf_dir):
+    """Each rank's part of the tree, of five, and whether it holds the tree's begin and end."""
+    return adjacency.trees_of_ranks(event_forest(spark, sf_dir).partition(5)[0], 2)
+
+
+@query(f"WITH {_LEAF}, t AS (SELECT count(*) AS n FROM leaf), b AS (SELECT {_m('x', 'y')} AS lo, gid FROM leaf), w AS (SELECT max(b.lo) FILTER (WHERE b.gid = n // 3) AS lo, coalesce(max(b.lo) FILTER (WHERE b.gid = 2 * n // 3), 1 << 24) AS hi FROM b, t), c AS (SELECT o_orderkey, CAST(o_orderkey % 6 + 1 AS INTEGER) AS l, (o_orderkey * 2654435761) % 4096 AS px, (o_custkey * 40503) % 4096 AS py FROM orders), k AS (SELECT o_orderkey, {_m('(px >> (12 - l) << (12 - l))', '(py >> (12 - l) << (12 - l))')} AS m, 1 << (2 * (12 - l)) AS size FROM c) SELECT o_orderkey, m < hi AND m + size > lo AS overlaps, m >= lo AND m + size <= hi AS inside FROM k, w")
+def cells_in_range(spark, sf_dir):
+    """Whether each order's cell of level 1 to 6 meets and lies in the middle third of the leaves."""
+    leaves = numbered(spark, sf_dir)
+    n = leaves.count()
+    q = Q.cell(2)
+    ends = leaves.where(F.col("gid").isin(n // 3, 2 * n // 3 - 1)).orderBy("gid").select(F.struct(*Q.columns(Q.first_descendant(q))).alias("first"), F.struct(*Q.columns(Q.last_descendant(q))).alias("last")).collect()  # two rows
+    first, last = (Q.Cell((F.lit(e["x"]), F.lit(e["y"])), F.lit(e["level"])) for e in (ends[0]["first"], ends[-1]["last"]))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    up = Q.MAX - 12
+    cell = Q.ancestor(Q.Cell((Q.shl(F.col("o_orderkey") * 2654435761 % 4096, up), Q.shl(F.col("o_custkey") * 40503 % 4096, up)), F.lit(Q.MAX)), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    inside = o.select("o_orderkey", *Q.columns(cell))
+    return inside.select("o_orderkey", Q.overlaps_range(q, first, last).alias("overlaps"), Q.is_inside_range(q, first, last).alias("inside"))
+
+
 # --- several trees --------------------------------------------------------------------------------------------------------------------
 _TREES = f"""{points_sql(2)},
  cnt AS (SELECT event_id % 6 AS tree, l AS level, p0 >> (12 - l) AS cx, p1 >> (12 - l) AS cy, count(*) AS n FROM pts, (SELECT CAST(range AS INTEGER) AS l FROM range(0, 7)) GROUP BY ALL),
@@ -342,6 +391,15 @@ def column_partition(spark, sf_dir):
     return c.partition(3)[0].select("level", _grid("x"), _grid("y"), _grid("z"), "gid", "rank")
 
 
+@query(f"WITH {_LEAF}, l AS (SELECT level, x, y, k, gid AS g, n + 1 AS w, row_number() OVER (ORDER BY gid, k) - 1 AS gid FROM leaf, (SELECT range AS k FROM range(0, 2))), s AS (SELECT *, sum(w) OVER (ORDER BY gid) AS upto, sum(w) OVER () AS total FROM l), cuts AS (SELECT p, min(gid) // 2 * 2 AS g FROM s, range(1, 4) t(p) WHERE upto * 4 // total >= p GROUP BY p) SELECT gid, CAST((SELECT count(*) FROM cuts WHERE cuts.g <= l.gid) AS INTEGER) AS rank FROM l")
+def column_weights(spark, sf_dir):
+    """Columns of two layers in four ranks of near-equal weight, which is one more than the column's points for each layer."""
+    f = event_forest(spark, sf_dir)
+    c = Columns.over(f, 1)
+    weighted = Columns(f.topology, c.layers.join(f.leaves, ["tree", "x", "y", "level"]))
+    return weighted.partition(4, F.col("n") + 1)[0].select("gid", "rank")
+
+
 @query(f"WITH {_LEAF}, fam AS (SELECT level - 1 AS level, cx >> 1 AS cx, cy >> 1 AS cy FROM leaf WHERE level > 3 GROUP BY ALL HAVING count(*) = 4), c AS (SELECT level, cx << (12 - level) AS x, cy << (12 - level) AS y FROM fam UNION ALL SELECT level, x, y FROM leaf l WHERE NOT EXISTS (SELECT 1 FROM fam f WHERE f.level = l.level - 1 AND f.cx = l.cx >> 1 AND f.cy = l.cy >> 1)) SELECT level, x, y, CAST(1 AS INTEGER) AS zlevel, CAST(k * 2048 AS BIGINT) AS z FROM c, (SELECT range AS k FROM range(0, 2))")
 def column_families(spark, sf_dir):
     """Families of columns of level 4 and finer become their parents; their layers are merged in pairs first."""

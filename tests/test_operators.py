@@ -3,6 +3,7 @@
 import itertools
 import os
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from sparkgrove.functions import quadrant as Q
 from sparkgrove.operators import adjacency, nodes, search
 from sparkgrove.operators.adapt import Adaptive, Builder, moved
 from sparkgrove.operators.columns import Columns
-from sparkgrove.operators.forest import Forest, adler_combine, complete_region, points_forest
+from sparkgrove.operators.forest import Forest, adler_combine, complete_region, next_nonempty, points_forest
 from sparkgrove.plans.lineage import cut, ranked
 from sparkgrove.sources import meshfiles
 from sparkgrove.sources import topology as T
@@ -330,3 +331,54 @@ def test_moebius_mesh_reads_all_customers(spark, tmp_path):
         spark.range(60).select(F.col("id").alias("c_custkey"), F.lit(nation).alias("c_nationkey")).write.parquet(f"{tmp_path}/{nation}/customer.parquet")
         meshes.append(sorted(map(str, queries.moebius_mesh(spark, f"{tmp_path}/{nation}").collect())))
     assert meshes[0] == meshes[1]
+
+
+def test_checks_of_ghosts_and_nodes(spark):
+    f, _, _ = random_forest(spark, T.unit(2), 4, 4, 12)
+    leaves, cuts = f.partition(3)
+    leaves = leaves.cache()
+    ghost = adjacency.ghosts(leaves, f.topology).cache()
+    assert adjacency.ghost_problems(ghost, leaves) == {"twice": 0, "own": 0, "unknown": 0, "misplaced": 0}
+    one = ghost.limit(1)
+    spoilt = ghost.unionByName(one).unionByName(one.withColumn("gid", F.lit(10**6).cast("long"))).unionByName(one.withColumn("owner", F.col("rank")))
+    assert all(adjacency.ghost_problems(spoilt, leaves).values())
+    cells = [r for r in ghost.join(leaves.drop("rank"), "gid").orderBy("rank", "gid").collect()]
+    want = zlib.adler32(b"".join(int(r[c]).to_bytes(4, "big") for r in cells for c in ("x", "y", "level")))
+    assert adjacency.ghost_checksum(ghost, leaves, 2) == want
+    used, made = nodes.number(leaves, f.topology, 1)
+    used, made = used.cache(), made.cache()
+    assert not any(nodes.problems(used, made, leaves, 4).values())
+    assert nodes.problems(used.where("pos > 0"), made, leaves, 4)["short"] == leaves.count()
+    both = adjacency.ghosts_by_nodes(used, leaves, ghost)
+    assert ghost.join(both, ["rank", "gid"], "left_anti").isEmpty()
+    assert [next_nonempty([0, 0, 5, 5, 9], p) for p in range(4)] == [1, 3, 3, 4]
+
+
+def test_columns_are_saved_and_dealt(spark, tmp_path):
+    f, _, _ = random_forest(spark, T.star(), 2, 2, 6)
+    c = Columns.over(Forest(f.topology, f.leaves.select(*f.keys)), 1)
+    c.save(str(tmp_path / "columns"))
+    again = Columns.load(spark, str(tmp_path / "columns"))
+    assert again.roots == c.roots and again.topology.same(c.topology) and again.layers.exceptAll(c.layers).isEmpty() and again.layers.count() == c.layers.count()
+    n = c.layers.count()
+    dealt, firsts = c.partition_given([3, n - 10, 7])
+    assert firsts == [0, 2, (n - 7) // 2 * 2, n] and dealt.groupBy("tree", "x", "y", "level").agg(F.countDistinct("rank").alias("r")).where("r > 1").isEmpty()
+    with pytest.raises(ValueError):
+        c.partition_given([1, 2])
+    ghost = c.ghosts(dealt)
+    more = c.expand_ghosts(ghost, dealt)
+    assert ghost.join(more, ["rank", "owner", "gid"], "left_anti").isEmpty() and more.where("rank = owner").isEmpty()
+
+
+def test_shifts_and_attributes(spark):
+    rng = random.Random(5)
+    cells = [(rng.randrange(1 << 5) << 25, rng.randrange(1 << 5) << 25, rng.randrange(1 << 5) << 25, 5) for _ in range(60)]
+    df = spark.createDataFrame(cells, "x long, y long, z long, level int")
+    got = df.select("x", "y", "z", Q.shift_edge(Q.cell(3), 5).level.alias("l")).collect()  # edge 5: along y, at the far side of x and the near one of z
+    for r in got:
+        touches = [k for k in range(6) if (r["x"] >> 30 - k) == (1 << k) - 1 and (r["z"] >> 30 - k) == 0]
+        assert r["l"] == max(touches)
+    top = T.star().with_attr("colour", [bytes([i]) for i in range(6)])
+    assert top.attr["colour"] == bytes(range(6)) and T.Topology.inflate(top.deflate()).attr == top.attr
+    with pytest.raises(ValueError):
+        T.star().with_attr("colour", [b"a"] * 5)
