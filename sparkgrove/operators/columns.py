@@ -283,6 +283,16 @@ class Columns:
         part = F.col("z") / F.lit(float(Q.ROOT * self.roots))
         if top is None:
             return base.withColumn("pz", F.col("pz") + part * height)
-        lid = vertex_map(self.layers.withColumnRenamed("z", "__z"), self.topology, ("x", "y"), ("tx", "ty", "tz"), top).withColumnRenamed("__z", "z")
-        both = base.join(lid.select(*COLUMN, "z", "tx", "ty", "tz"), [*COLUMN, "z"])
+        both = vertex_map(base.withColumnRenamed("z", "__z"), self.topology, ("x", "y"), ("tx", "ty", "tz"), top).withColumnRenamed("__z", "z")
         return both.withColumns({f"p{a}": F.col(f"p{a}") * (1 - part) + F.col(f"t{a}") * part for a in "xyz"}).drop("tx", "ty", "tz")
+
+    def write_vtk(self, path: str, top: DataFrame | None = None, height: float = 1.0, fields: tuple[str, ...] = (), ranks: int = 1) -> list[str]:
+        """VTK files of all layers as hexahedra, with tree, level, zlevel, rank and payload fields; positions as in positions()."""
+        from ..sources.meshfiles import write_cells
+
+        layers, _ = self.partition(ranks)
+        n, h = Q.length(F.col("level")), _zlen(F.col("zlevel"))
+        spots = F.array(*[F.struct(F.lit(c).alias("c"), *[(F.col(a) + (d if c >> i & 1 else 0)).alias(a) for i, (a, d) in enumerate((("x", n), ("y", n), ("z", h)))]) for c in range(8)])
+        keep = ("gid", "rank", "tree", "level", "zlevel", *fields)
+        each = layers.select(*keep, F.explode(spots).alias("s")).select(*keep, "s.*")
+        return write_cells(replace(self, layers=each).positions(top, height), path, 3, ("tree", "level", "zlevel", "rank"), fields, {}, {})

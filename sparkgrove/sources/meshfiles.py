@@ -7,18 +7,21 @@ written by executors as Parquet, or in pieces of one partition at a time where a
 from __future__ import annotations
 
 import base64
+import itertools
 import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import quadrant as Q
 from ..operators.forest import Forest, key_names, sort_keys
 from .topology import Topology, complete
 
+#: Cells of a VTK file at most.
+CELLS = 1 << 17
 #: Element types of ABAQUS files that are read, by dimension.
 _INP_TYPES = {2: ("C2D4", "CPS4", "S4"), 3: ("C3D8",)}
 #: Their corners run around a face; these are their places in Morton order.
@@ -254,26 +257,41 @@ def _array(kind: str, name: str, values, parts: int = 1) -> str:
     return f'<DataArray type="{kind}" Name="{name}"{wide} format="binary">{body}</DataArray>'
 
 
-def write_vtk(forest: Forest, path: str, how: Callable | None = None, fields: tuple[str, ...] = (), scale: float = 0.95, ranks: int = 1) -> list[str]:
+def write_vtk(forest: Forest, path: str, how: Callable | None = None, fields: tuple[str, ...] = (), scale: float = 0.95, ranks: int = 1, vectors: dict[str, tuple[str, str, str]] | None = None, point_fields: dict[str, Column] | None = None) -> list[str]:
     """`<path>_NNNN.vtu` for each rank, `<path>.pvtu` and `<path>.visit`: cells shrunk by `scale`, with tree, level, rank and fields.
 
-    how: a map of functions.geometry on top of the topology's vertices. Executors make the XML pieces; the driver writes them one
-    at a time. Returns the files.
+    how: a map of functions.geometry on top of the topology's vertices. fields: payload columns, one value a cell. vectors: names, each with
+    three payload columns. point_fields: values at the corners, as expressions of their position px, py, pz. Returns the files.
     """
-    import numpy as np
-
     from ..functions.geometry import place
 
     dim, axes = forest.dim, Q.axes(forest.dim)
-    kind, corners = (8, 4) if dim == 2 else (11, 8)  # pixel and voxel: corners in Morton order
+    corners = 1 << dim
+    own = (*fields, *itertools.chain(*(vectors or {}).values()))
     leaves, _ = forest.partition(ranks)
-    frame = leaves.select("gid", "rank", "tree", "level", *fields, *axes)
+    frame = leaves.select("gid", "rank", "tree", "level", *own, *axes)
     n = Q.length(F.col("level")).cast("double")
     middle = {a: F.col(a) + n / 2 for a in axes}
     spots = F.array(*[F.struct(F.lit(c).alias("c"), *[(middle[a] + n * (scale / 2 * (1 if c >> i & 1 else -1))).alias(a) for i, a in enumerate(axes)]) for c in range(corners)])
-    each = frame.select("gid", "rank", "tree", "level", *fields, F.explode(spots).alias("s")).select("gid", "rank", "tree", "level", *fields, "s.*")
-    put = place(each, forest.topology, how or (lambda tree, abc: tuple(abc)), axes).select("gid", "rank", "c", "tree", "level", *fields, "px", "py", "pz")
-    names = ["tree", "level", "rank", *fields]
+    each = frame.select("gid", "rank", "tree", "level", *own, F.explode(spots).alias("s")).select("gid", "rank", "tree", "level", *own, "s.*")
+    put = place(each, forest.topology, how or (lambda tree, abc: tuple(abc)), axes)
+    return write_cells(put, path, dim, ("tree", "level", "rank"), fields, vectors or {}, point_fields or {})
+
+
+def write_cells(put: DataFrame, path: str, dim: int, numbers: tuple[str, ...], fields: tuple[str, ...], vectors: dict[str, tuple[str, str, str]], point_fields: dict[str, Column]) -> list[str]:
+    """VTK files of cells given by their corners: gid, rank, c (corner in Morton order), px, py, pz and the data columns.
+
+    A file holds at most CELLS cells of one rank, so neither a task nor the driver has more at once: executors make the XML, the driver writes
+    file after file. A rank's files beyond the first are called `<path>_NNNN_MMMM.vtu`.
+    """
+    import numpy as np
+
+    kind, corners = (8, 4) if dim == 2 else (11, 8)  # pixel and voxel: corners in Morton order
+    own = (*numbers, *fields, *itertools.chain(*vectors.values()))
+    low = put.groupBy("rank").agg(F.min("gid").alias("low"))
+    put = put.withColumns({f"point_{f}": c for f, c in point_fields.items()}).join(F.broadcast(low), "rank").withColumn("part", F.floor((F.col("gid") - F.col("low")) / CELLS))  # one row a rank
+    at_points = list(point_fields)
+    put = put.select("gid", "part", "c", *dict.fromkeys(("rank", *own)), "px", "py", "pz", *[f"point_{f}" for f in at_points])
 
     def piece(key, pdf):
         import pandas as pd
@@ -281,26 +299,29 @@ def write_vtk(forest: Forest, path: str, how: Callable | None = None, fields: tu
         pdf = pdf.sort_values(["gid", "c"])
         cells = pdf[pdf["c"] == 0]
         m = len(cells)
-        data = "".join(_array("Float64" if f in fields else "Int32", f, cells[f].to_numpy(np.float64 if f in fields else np.int32)) for f in names)
+        data = "".join(_array("Float64" if f in fields else "Int32", f, cells[f].to_numpy(np.float64 if f in fields else np.int32)) for f in (*numbers, *fields))
+        data += "".join(_array("Float64", f, cells[list(c)].to_numpy(np.float64), 3) for f, c in vectors.items())
+        at = "".join(_array("Float64", f, pdf[f"point_{f}"].to_numpy(np.float64)) for f in at_points)
         xml = (
             '<?xml version="1.0"?><VTKFile type="UnstructuredGrid" version="0.1" byte_order="LittleEndian" compressor="vtkZLibDataCompressor"><UnstructuredGrid>'
             f'<Piece NumberOfPoints="{m * corners}" NumberOfCells="{m}"><Points>{_array("Float64", "Position", pdf[["px", "py", "pz"]].to_numpy(np.float64), 3)}</Points>'
             f'<Cells>{_array("Int32", "connectivity", np.arange(m * corners, dtype=np.int32))}{_array("Int32", "offsets", np.arange(1, m + 1, dtype=np.int32) * corners)}{_array("UInt8", "types", np.full(m, kind, np.uint8))}</Cells>'
-            f'<CellData Scalars="tree,level,rank">{data}</CellData></Piece></UnstructuredGrid></VTKFile>'
+            f'<CellData Scalars="{",".join(numbers)}">{data}</CellData>{f"<PointData>{at}</PointData>" if at else ""}</Piece></UnstructuredGrid></VTKFile>'
         )
-        return pd.DataFrame({"rank": [int(key[0])], "xml": [xml]})
+        return pd.DataFrame({"rank": [int(key[0])], "part": [int(key[1])], "xml": [xml]})
 
-    files = []
+    files, spark = [], put.sparkSession
     base = path.rsplit("/", 1)[-1]
-    for r in put.groupBy("rank").applyInPandas(piece, "rank int, xml string").toLocalIterator():
-        files.append(f"{path}_{r['rank']:04d}.vtu")
-        with Output(forest.spark, files[-1]) as out:
+    for r in put.groupBy("rank", "part").applyInPandas(piece, "rank int, part long, xml string").toLocalIterator():
+        files.append(f"{path}_{r['rank']:04d}{f'_{r['part']:04d}' if r['part'] else ''}.vtu")
+        with Output(spark, files[-1]) as out:
             out.write(r["xml"].encode())
     files.sort()
-    heads = "".join(f'<PDataArray type="{"Float64" if f in fields else "Int32"}" Name="{f}"/>' for f in names)
+    heads = "".join(f'<PDataArray type="{"Float64" if f in fields else "Int32"}" Name="{f}"/>' for f in (*numbers, *fields)) + "".join(f'<PDataArray type="Float64" Name="{f}" NumberOfComponents="3"/>' for f in vectors)
+    spots = "".join(f'<PDataArray type="Float64" Name="{f}"/>' for f in point_fields)
     sources = "".join(f'<Piece Source="{base}{f[len(path):]}"/>' for f in files)
-    with Output(forest.spark, f"{path}.pvtu") as out:
-        out.write(f'<?xml version="1.0"?><VTKFile type="PUnstructuredGrid" version="0.1" byte_order="LittleEndian" compressor="vtkZLibDataCompressor"><PUnstructuredGrid GhostLevel="0"><PPoints><PDataArray type="Float64" Name="Position" NumberOfComponents="3"/></PPoints><PCellData Scalars="tree,level,rank">{heads}</PCellData>{sources}</PUnstructuredGrid></VTKFile>'.encode())
-    with Output(forest.spark, f"{path}.visit") as out:
+    with Output(spark, f"{path}.pvtu") as out:
+        out.write(f'<?xml version="1.0"?><VTKFile type="PUnstructuredGrid" version="0.1" byte_order="LittleEndian" compressor="vtkZLibDataCompressor"><PUnstructuredGrid GhostLevel="0"><PPoints><PDataArray type="Float64" Name="Position" NumberOfComponents="3"/></PPoints><PCellData Scalars="{",".join(numbers)}">{heads}</PCellData>{f"<PPointData>{spots}</PPointData>" if spots else ""}{sources}</PUnstructuredGrid></VTKFile>'.encode())
+    with Output(spark, f"{path}.visit") as out:
         out.write((f"!NBLOCKS {len(files)}\n" + "".join(f"{base}{f[len(path):]}\n" for f in files)).encode())
     return [*files, f"{path}.pvtu", f"{path}.visit"]

@@ -15,7 +15,7 @@ from sparkgrove.operators.adapt import Adaptive, Builder, moved
 from sparkgrove.operators.columns import Columns
 from sparkgrove.operators.forest import Forest, adler_combine, complete_region, next_nonempty, points_forest
 from sparkgrove.plans.lineage import cut, ranked
-from sparkgrove.sources import meshfiles
+from sparkgrove.sources import meshfiles, sections
 from sparkgrove.sources import topology as T
 
 SIDE = 1 << 30
@@ -261,11 +261,31 @@ def test_files_round_trip(spark, tmp_path):
             meshfiles.inflate(spark, bad)
     files = meshfiles.write_vtk(f, str(tmp_path / "out"), ranks=2, fields=("v",))
     assert len(files) == 4 and "NumberOfCells" in open(files[0]).read()
+    more = meshfiles.write_vtk(Forest(f.topology, f.leaves.withColumn("w", F.lit(1.0))), str(tmp_path / "more"), vectors={"flow": ("w", "w", "w")}, point_fields={"height": F.col("px") * 2})
+    text = open(more[0]).read()
+    assert 'Name="flow" NumberOfComponents="3"' in text and "<PointData>" in text and "PPointData" in open(more[-2]).read()
     pts = spark.createDataFrame([(0.5, 1.0, -2.0), (3.0, 4.0, 5.0)], "x double, y double, z double")
     assert meshfiles.write_points(pts, str(tmp_path / "pts")) == 2
     assert sorted(meshfiles.read_points(spark, str(tmp_path / "pts")).collect()) == sorted(pts.collect())
 
 
+def test_sectioned_files(spark, tmp_path):
+    f, _, _ = random_forest(spark, T.star(), 2, 2, 6)
+    f = Forest(f.topology, f.leaves.withColumn("v", F.col("tree") + 0.5))
+    path = str(tmp_path / "forest.dat")
+    sections.write_forest(spark, path, f, "a test", ("v",))
+    again = sections.read_forest(spark, path)
+    assert again.equals(f, payload=True) and again.topology.same(f.topology)
+    raw, n = open(path, "rb").read(), f.leaves.count()
+    found = sections.info(raw)
+    assert (found["dim"], found["user"], found["n"]) == (2, "a test", n) and [s[:2] for s in found["sections"]][1:] == [("B", 56), ("F", 12), ("F", 8)]
+    assert len(raw) % 16 == 0 and raw[80:97] == b"%016d\n" % n and raw[112:114] == b"B "
+    assert [len(sections.padding(k)) for k in (0, 1, 14, 15, 16)] == [16, 15, 2, 17, 16]
+    for bad in (b"", raw[:-1], raw[:112] + b"X" + raw[113:], b"x" + raw[1:]):
+        with pytest.raises(ValueError):
+            sections.info(bad)
+
+
 def test_domain_files():
     two = meshfiles.parse_inp("*Heading\n x\n*Node\n1,0,0,0\n2,1,0,0\n3,1,1,0\n4,0,1,0\n5,2,0,0\n6,2,1,0\n*Element, type=C2D4\n1,1,2,3,4\n2,2,5,6,3\n*Nset\n1,2\n", 2)
     assert two.n == 2 and two.face_neighbor(0, 1) == (1, 0, 0) and not two.problems()
@@ -354,6 +374,10 @@ def test_checks_of_ghosts_and_nodes(spark):
     assert [next_nonempty([0, 0, 5, 5, 9], p) for p in range(4)] == [1, 3, 3, 4]
 
 
+def firsts_of(c):
+    return c.partition(2)[1]
+
+
 def test_columns_are_saved_and_dealt(spark, tmp_path):
     f, _, _ = random_forest(spark, T.star(), 2, 2, 6)
     c = Columns.over(Forest(f.topology, f.leaves.select(*f.keys)), 1)
@@ -365,6 +389,8 @@ def test_columns_are_saved_and_dealt(spark, tmp_path):
     assert firsts == [0, 2, (n - 7) // 2 * 2, n] and dealt.groupBy("tree", "x", "y", "level").agg(F.countDistinct("rank").alias("r")).where("r > 1").isEmpty()
     with pytest.raises(ValueError):
         c.partition_given([1, 2])
+    files = c.write_vtk(str(tmp_path / "layers"), ranks=2)
+    assert len(files) == 4 and f'NumberOfCells="{firsts_of(c)[1]}"' in open(files[0]).read()
     ghost = c.ghosts(dealt)
     more = c.expand_ghosts(ghost, dealt)
     assert ghost.join(more, ["rank", "owner", "gid"], "left_anti").isEmpty() and more.where("rank = owner").isEmpty()
