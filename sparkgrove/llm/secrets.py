@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import cut, drop_cut, fresh
 
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -50,13 +50,22 @@ _DATES = tuple(re.compile(p) for p in (rf"(?:19|20)\d\d[-/._]?{_MONTH}[-/._]?{_D
 
 
 def corpus_ranks(df: DataFrame, text: str = "text", most: int = DICTIONARY) -> dict[str, int]:
-    """Ranks of the `most` commonest words of all texts, by count, then by code point, and of the common passwords.
+    """Ranks of the commonest words of all texts, by count, then by code point, and of the common passwords.
 
-    A word is a run of letters, lower-cased, of SHORTEST to LONGEST letters. Counts are summed before the shuffle, so common words make
-    no large groups; the driver gets `most` rows.
+    A word is a run of letters, lower-cased, of SHORTEST to LONGEST letters. Counts fall into steps of about 4 %, and whole steps are
+    taken from the top as long as they hold at most `most` words together. Counts are summed before the shuffle, so common words make no large
+    groups; the driver gets a row a step, and at most `most` words.
     """
     word = df.select(F.explode(F.split(F.lower(df[text]), r"[^\p{L}]+")).alias("w")).where(F.length("w").between(SHORTEST, LONGEST))
-    top = word.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(most).collect()
+    counts = cut(word.groupBy("w").agg(F.count(F.lit(1)).alias("n")).withColumn("step", F.floor(16 * F.log2("n")).cast("int")))
+    taken, lowest = 0, None
+    for r in sorted(counts.groupBy("step").agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["step"]):
+        taken += r["words"]
+        if taken > most:
+            break
+        lowest = r["step"]
+    top = [] if lowest is None else sorted(counts.where(F.col("step") >= lowest).select("w", "n").collect(), key=lambda r: (-r["n"], r["w"]))
+    drop_cut(counts)
     ranks = {r["w"]: i + 1 for i, r in enumerate(top)}
     return ranks | {w: min(i, ranks.get(w, i)) for w, i in _RANK.items()}
 
