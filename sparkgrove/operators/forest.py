@@ -500,3 +500,22 @@ def points_forest(points: DataFrame, topology: Topology, max_points: int, max_le
     roots = topology.tree_frame(points.sparkSession).select("tree", *[F.lit(0).cast("long").alias(a) for a in Q.axes(dim)], F.lit(0).alias("level"))
     leaves = kids.unionByName(roots).join(split, keys, "left_anti").join(counted, keys, "left")
     return Forest(topology, leaves.withColumn("n", F.coalesce("n", F.lit(0).cast("long"))))
+
+
+def image_forest(pixels: DataFrame, value: str, topology: Topology, tolerance: float, max_level: int = 12) -> Forest:
+    """A forest refined where an image varies: a cell is split while its pixels (tree, x, y[, z], value) differ by more than tolerance, down to max_level.
+
+    Payload: low and high, the extremes inside, and n pixels; low and high are null in cells without pixels. Null values count for nothing.
+    All levels come from one aggregate over the pixels' ancestors, after one over the finest cells.
+    """
+    dim, keys = topology.dim, key_names(topology.dim)
+    inside = pixels.select(F.col("tree").cast("long").alias("tree"), *[F.least(F.greatest(F.col(a).cast("long"), F.lit(0)), F.lit(Q.ROOT - 1)).alias(a) for a in Q.axes(dim)], F.lit(max_level).alias("level"), F.col(value).alias("low"), F.col(value).alias("high"), F.lit(1).cast("long").alias("n"))
+    extremes = [F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")]
+    finest = inside.select("tree", *Q.columns(Q.ancestor(Q.cell(dim), F.lit(max_level))), "low", "high", "n").groupBy(*keys).agg(*extremes)
+    spread = finest.select("tree", *Q.axes(dim), F.explode(F.sequence(F.lit(0), F.lit(max_level))).alias("level"), "low", "high", "n")
+    seen = cut(spread.select("tree", *Q.columns(Q.ancestor(Q.cell(dim), F.col("level"))), "low", "high", "n").groupBy(*keys).agg(*extremes))
+    split = seen.where((F.col("high") - F.col("low") > tolerance) & (F.col("level") < max_level)).select(*keys)
+    kids = split.select("tree", F.explode(Q.children(Q.cell(dim))).alias("q")).select("tree", *[F.col("q")[c].alias(c) for c in keys[1:]])
+    roots = topology.tree_frame(pixels.sparkSession).select("tree", *[F.lit(0).cast("long").alias(a) for a in Q.axes(dim)], F.lit(0).alias("level"))
+    leaves = kids.unionByName(roots).join(split, keys, "left_anti").join(seen, keys, "left")
+    return Forest(topology, leaves.withColumn("n", F.coalesce("n", F.lit(0).cast("long"))))

@@ -113,7 +113,7 @@ def morton_decode(spark, sf_dir):
   ((px >> 11) & 1) + 2 * ((py >> 11) & 1) AS top_child FROM q"""
 )
 def cell_relatives(spark, sf_dir):
-    """Child number, parent, successor's index, level of the nearest common ancestor with the mirrored cell, child number at level 1."""
+    """Child number, parent, index of the next cell, level of the nearest common ancestor with the mirrored cell, child number at level 1."""
     p = event_points(spark, sf_dir)
     level = (F.col("event_id") % 11 + 2).cast("int")
     q = Q.ancestor(Q.Cell((F.col("x"), F.col("y")), F.lit(Q.MAX)), level)

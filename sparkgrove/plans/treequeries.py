@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import quadrant as Q
 from ..operators import adapt, adjacency, nodes, search
 from ..operators.columns import Columns
-from ..operators.forest import Forest, complete, linearize, points_forest
+from ..operators.forest import Forest, complete, image_forest, linearize, points_forest
 from ..sources import topology as T
 from .cellqueries import NAMES, points, points_sql, weave
 from .lineage import cut
@@ -350,6 +350,19 @@ def cells_in_range(spark, sf_dir):
     return inside.select("o_orderkey", Q.overlaps_range(q, first, last).alias("overlaps"), Q.is_inside_range(q, first, last).alias("inside"))
 
 
+@query(
+    f"""WITH {points_sql(2)}, px AS (SELECT p0, p1, value FROM pts JOIN events USING (event_id)),
+ cnt AS (SELECT l AS level, p0 >> (12 - l) AS cx, p1 >> (12 - l) AS cy, count(*) AS n, min(value) AS low, max(value) AS high FROM px, (SELECT CAST(range AS INTEGER) AS l FROM range(0, 8)) GROUP BY ALL),
+ split AS (SELECT level, cx, cy FROM cnt WHERE high - low > 40 AND level < 7), d2(dx, dy) AS (VALUES (0, 0), (1, 0), (0, 1), (1, 1)),
+ kids AS (SELECT level + 1 AS level, 2 * cx + dx AS cx, 2 * cy + dy AS cy FROM split, d2 UNION ALL SELECT 0, 0, 0)
+ SELECT level, k.cx << (12 - level) AS x, k.cy << (12 - level) AS y, coalesce(n, 0) AS n, low, high FROM kids k ANTI JOIN split USING (level, cx, cy) LEFT JOIN cnt USING (level, cx, cy)"""
+)
+def image_quadtree(spark, sf_dir):
+    """A quadtree refined where the events' values differ by more than 40, down to level 7."""
+    p = points(spark, sf_dir, 2).join(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value"), "event_id")
+    return image_forest(p, "value", T.unit(2), 40.0, 7).leaves.select("level", _grid("x"), _grid("y"), "n", "low", "high")
+
+
 # --- several trees --------------------------------------------------------------------------------------------------------------------
 _TREES = f"""{points_sql(2)},
  cnt AS (SELECT event_id % 6 AS tree, l AS level, p0 >> (12 - l) AS cx, p1 >> (12 - l) AS cy, count(*) AS n FROM pts, (SELECT CAST(range AS INTEGER) AS l FROM range(0, 7)) GROUP BY ALL),
