@@ -197,7 +197,7 @@ def mirrors(ghost: DataFrame) -> DataFrame:
 def expand_ghosts(ghost: DataFrame, ranked_leaves: DataFrame, topology: Topology, kind: str = "corner") -> DataFrame:
     """The ghost layer and the leaves of other ranks that touch it."""
     met = both_ways(pairs(ranked_leaves, topology, kind, ("rank",)), ("rank",)).select("gid", F.col("ngid").alias("n"), F.col("nrank").alias("owner"))
-    more = ghost.select("rank", "gid").join(met, "gid").where(F.col("owner") != F.col("rank")).select("rank", "owner", F.col("n").alias("gid"))
+    more = ghost.select("rank", "gid").join(met.hint("merge"), "gid").where(F.col("owner") != F.col("rank")).select("rank", "owner", F.col("n").alias("gid"))
     return ghost.unionByName(more).distinct()
 
 

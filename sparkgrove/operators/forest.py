@@ -21,6 +21,8 @@ from ..sources.topology import Topology
 
 #: Transform rows of a topology that are broadcast at most; a larger table is joined by shuffle.
 MAX_BROADCAST_ROWS = 1_000_000
+#: Cells of a forest that are broadcast at most, some 40 MB of the driver; more are joined by shuffle.
+MAX_BROADCAST_CELLS = 200_000
 Predicate = Callable[[DataFrame], Column]
 #: Levels of recursive refinement that run as one pipeline before the rows are written.
 STEPS = 4
@@ -39,6 +41,14 @@ def small(frame: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(frame) if rows <= MAX_BROADCAST_ROWS else frame
 
 
+def joinable(frame: DataFrame, rows: int) -> DataFrame:
+    """Cells as one side of a join, broadcast only if they are few.
+
+    Left to itself, Spark takes an exploded table for as small as the file it comes from, and may send that to the driver instead.
+    """
+    return F.broadcast(frame) if rows <= MAX_BROADCAST_CELLS else frame.hint("merge")
+
+
 @dataclass(frozen=True)
 class Forest:
     topology: Topology
@@ -406,7 +416,12 @@ def same_size_neighbors(frame: DataFrame, topology: Topology, kind: str, across_
 
 def levels_of(leaves: DataFrame) -> list[int]:
     """Distinct levels, at most 31 values."""
-    return sorted(r[0] for r in leaves.select("level").distinct().collect())
+    return sorted(level_counts(leaves))
+
+
+def level_counts(cells: DataFrame) -> dict[int, int]:
+    """Number of cells of each level, at most 31 entries."""
+    return {r[0]: r[1] for r in cells.groupBy("level").agg(F.count(F.lit(1))).collect()}
 
 
 def containing(cells: DataFrame, leaves: DataFrame, dim: int, keep: str = "inner", levels: list[int] | None = None, prefix: str = "l_") -> DataFrame:
@@ -415,14 +430,15 @@ def containing(cells: DataFrame, leaves: DataFrame, dim: int, keep: str = "inner
     This replaces a range join: cells are spread over the leaves' levels, at most theirs, and joined on masked coordinates.
     Cells without such a leaf are dropped ("inner"); disjoint leaves give at most one row.
     """
-    levels = levels_of(leaves) if levels is None else levels
+    counts = level_counts(leaves)
+    levels = sorted(counts) if levels is None else levels
     at = F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v <= F.col("level")) if levels else F.array().cast("array<int>")
     spread = cells.withColumn("__l", F.explode(at))
     up = Q.ancestor(Q.cell(dim), F.col("__l"))
     spread = spread.withColumns({f"__{a}": c for a, c in zip(Q.axes(dim), up.xyz)})
     right = leaves.select(*[F.col(c).alias(prefix + c) for c in leaves.columns])
     on = [spread["tree"] == right[f"{prefix}tree"], spread["__l"] == right[f"{prefix}level"]] + [spread[f"__{a}"] == right[f"{prefix}{a}"] for a in Q.axes(dim)]
-    return spread.join(right, on).drop("__l", *[f"__{a}" for a in Q.axes(dim)])
+    return spread.join(joinable(right, sum(counts.values())), on).drop("__l", *[f"__{a}" for a in Q.axes(dim)])
 
 
 def inherit(cells: DataFrame, leaves: DataFrame, dim: int) -> DataFrame:
@@ -498,7 +514,7 @@ def points_forest(points: DataFrame, topology: Topology, max_points: int, max_le
     split = counted.where((F.col("n") > max_points) & (F.col("level") < max_level) & F.lit(max_points >= 0)).select(*keys)
     kids = split.select("tree", F.explode(Q.children(Q.cell(dim))).alias("q")).select("tree", *[F.col("q")[c].alias(c) for c in keys[1:]])
     roots = topology.tree_frame(points.sparkSession).select("tree", *[F.lit(0).cast("long").alias(a) for a in Q.axes(dim)], F.lit(0).alias("level"))
-    leaves = kids.unionByName(roots).join(split, keys, "left_anti").join(counted, keys, "left")
+    leaves = kids.unionByName(roots).join(split.hint("merge"), keys, "left_anti").join(counted.hint("merge"), keys, "left")
     return Forest(topology, leaves.withColumn("n", F.coalesce("n", F.lit(0).cast("long"))))
 
 
@@ -517,5 +533,5 @@ def image_forest(pixels: DataFrame, value: str, topology: Topology, tolerance: f
     split = seen.where((F.col("high") - F.col("low") > tolerance) & (F.col("level") < max_level)).select(*keys)
     kids = split.select("tree", F.explode(Q.children(Q.cell(dim))).alias("q")).select("tree", *[F.col("q")[c].alias(c) for c in keys[1:]])
     roots = topology.tree_frame(pixels.sparkSession).select("tree", *[F.lit(0).cast("long").alias(a) for a in Q.axes(dim)], F.lit(0).alias("level"))
-    leaves = kids.unionByName(roots).join(split, keys, "left_anti").join(seen, keys, "left")
+    leaves = kids.unionByName(roots).join(split.hint("merge"), keys, "left_anti").join(seen.hint("merge"), keys, "left")
     return Forest(topology, leaves.withColumn("n", F.coalesce("n", F.lit(0).cast("long"))))

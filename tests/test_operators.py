@@ -408,3 +408,26 @@ def test_shifts_and_attributes(spark):
     assert top.attr["colour"] == bytes(range(6)) and T.Topology.inflate(top.deflate()).attr == top.attr
     with pytest.raises(ValueError):
         T.star().with_attr("colour", [b"a"] * 5)
+
+
+# --- large tables ----------------------------------------------------------------------------------------------------------------
+def test_containment_never_broadcasts_the_cells(spark, monkeypatch):
+    """The exploded cells look as small as their file; beyond a number of leaves neither side is broadcast."""
+    leaves = cut(Forest.uniform(spark, T.unit(3), 3).numbered())
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = adjacency.pairs(leaves, T.unit(3))
+    few = sorted(found.collect())
+    monkeypatch.setattr("sparkgrove.operators.forest.MAX_BROADCAST_CELLS", 100, raising=False)
+    found = adjacency.pairs(leaves, T.unit(3))
+    assert "BroadcastHashJoin" not in plan(found) and "SortMergeJoin" in plan(found)
+    assert sorted(found.collect()) == few and len(few) == 22**3 - 8**3
+
+
+def test_ghosts_are_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr("sparkgrove.operators.forest.MAX_BROADCAST_CELLS", 10, raising=False)
+    leaves = cut(Forest.uniform(spark, T.unit(2), 3).partition(4)[0])
+    ghost = cut(adjacency.ghosts(leaves, T.unit(2)))
+    more = adjacency.expand_ghosts(ghost, leaves, T.unit(2))
+    assert "BroadcastHashJoin" not in more._jdf.queryExecution().executedPlan().toString()
+    # four quarters of 4 x 4: a layer is 4 + 4 + 1 leaves, two are 8 + 8 + 4
+    assert ghost.count() == 4 * 9 and more.count() == 4 * 20
