@@ -254,7 +254,7 @@ def exchange(ghost: DataFrame, data: DataFrame, min_level: int | None = None, ma
     """ghost with the columns of data (by gid, and of its level if limits are given): what the holders receive."""
     if min_level is not None or max_level is not None:
         data = data.where(F.col("level").between(0 if min_level is None else min_level, Q.MAX if max_level is None else max_level))
-    return ghost.join(data, "gid")
+    return ghost.join(data.hint("merge"), "gid")  # data has a row for every leaf
 
 
 def existing(cells: DataFrame, leaves: DataFrame, dim: int) -> DataFrame:

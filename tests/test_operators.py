@@ -431,3 +431,4 @@ def test_ghosts_are_joined_by_shuffle(spark, monkeypatch):
     assert "BroadcastHashJoin" not in more._jdf.queryExecution().executedPlan().toString()
     # four quarters of 4 x 4: a layer is 4 + 4 + 1 leaves, two are 8 + 8 + 4
     assert ghost.count() == 4 * 9 and more.count() == 4 * 20
+    assert "BroadcastHashJoin" not in adjacency.exchange(ghost, leaves.select("gid", "level"))._jdf.queryExecution().executedPlan().toString()
