@@ -78,6 +78,7 @@ def filled(df: DataFrame, keys: list, column: str, name: str, forward: bool = Tr
     from pyspark.sql import types as T
 
     table = spark.createDataFrame(rows, T.StructType([T.StructField("__pid", T.LongType()), T.StructField("__in", df.schema[column].dataType)]))
-    w = Window.partitionBy("__pid").orderBy("__mid")
-    near = F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) if forward else F.first(column, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # backward: forward in the reverse order, as a frame that shrinks to the end is read again for each of its rows
+    w = Window.partitionBy("__pid").orderBy("__mid" if forward else F.desc("__mid"))
+    near = F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return local.join(F.broadcast(table), "__pid").withColumn(name, F.coalesce(near, "__in")).drop("__pid", "__mid", "__in")

@@ -432,3 +432,13 @@ def test_ghosts_are_joined_by_shuffle(spark, monkeypatch):
     # four quarters of 4 x 4: a layer is 4 + 4 + 1 leaves, two are 8 + 8 + 4
     assert ghost.count() == 4 * 9 and more.count() == 4 * 20
     assert "BroadcastHashJoin" not in adjacency.exchange(ghost, leaves.select("gid", "level"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bounds_ahead_read_each_row_once(spark):
+    """A frame that reaches to the end of its partition is read again for each row; the bound ahead must not use one."""
+    leaves = cut(Forest.uniform(spark, T.unit(2), 3).numbered())
+    cells = leaves.where("gid % 3 = 1").select(*[c for c in leaves.columns if c != "gid"], F.col("gid").alias("want"))
+    found = search.bound(cells, leaves.where("gid % 2 = 0"), 2)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    got = [(r["want"], r["bound"]) for r in found.collect()]
+    assert len(got) == 21 and all(b == (w if w % 2 == 0 else w + 1 if w < 63 else None) for w, b in got)
