@@ -442,3 +442,10 @@ def test_bounds_ahead_read_each_row_once(spark):
     assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
     got = [(r["want"], r["bound"]) for r in found.collect()]
     assert len(got) == 21 and all(b == (w if w % 2 == 0 else w + 1 if w < 63 else None) for w, b in got)
+
+
+def test_bounds_ahead_of_octants(spark):
+    leaves = cut(Forest.uniform(spark, T.unit(3), 2).numbered())
+    found = search.bound(leaves.select(*[c for c in leaves.columns if c != "gid"], F.col("gid").alias("want")), leaves.where("gid % 7 = 3"), 3)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    assert {r["want"]: r["bound"] for r in found.collect()} == {w: next((g for g in range(w, 64) if g % 7 == 3), None) for w in range(64)}
