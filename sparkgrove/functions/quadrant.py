@@ -8,6 +8,7 @@ A null coordinate or level makes every result null.
 
 from __future__ import annotations
 
+import functools
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -85,24 +86,48 @@ def _mask(c: Column, level) -> Column:
 
 
 # --- Morton keys ---------------------------------------------------------------------------------------------------
-_TWO = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
-_THREE = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
+#: Bits of a coordinate, and of a key, that one look-up takes.
+_PIECE = 8
+_KEY_PIECE = {2: 8, 3: 9}
+
+
+@functools.cache
+def _table(values: tuple[int, ...]) -> str:
+    return f"array({', '.join(f'{v}L' for v in values)})"
+
+
+def _looked_up(values: tuple[int, ...], at: Column) -> Column:
+    """values[at]; the array is a constant of the plan."""
+    return F.get(F.expr(_table(values)), at.cast("int"))
+
+
+@functools.cache
+def _spreads(dim: int) -> tuple[int, ...]:
+    return tuple(sum((v >> i & 1) << dim * i for i in range(_PIECE)) for v in range(1 << _PIECE))
+
+
+@functools.cache
+def _squeezes(dim: int) -> tuple[int, ...]:
+    n = _KEY_PIECE[dim]
+    return tuple(sum((v >> dim * i & 1) << i for i in range(n // dim)) for v in range(1 << n))
 
 
 def _spread(c: Column, dim: int) -> Column:
-    out = c
-    for n, mask in _TWO if dim == 2 else _THREE:
-        out = out.bitwiseOR(shl(out, n)).bitwiseAND(F.lit(mask))
+    """The low 32 (2D) or 21 (3D) bits of a coordinate, dim places apart. A column names c four (three) times: the usual doubling steps name it 32 times."""
+    out = None
+    for at in range(0, 32 if dim == 2 else 21, _PIECE):
+        mask = (1 << (_PIECE if dim == 2 else min(_PIECE, 21 - at))) - 1
+        part = shl(_looked_up(_spreads(dim), shr(c, at).bitwiseAND(F.lit(mask))), dim * at)
+        out = part if out is None else out.bitwiseOR(part)
     return out
 
 
 def _squeeze(c: Column, dim: int) -> Column:
-    steps = _TWO if dim == 2 else _THREE
-    out = c.bitwiseAND(F.lit(steps[-1][1]))
-    for i in range(len(steps) - 1, -1, -1):
-        n = steps[i][0]
-        mask = steps[i - 1][1] if i else (0xFFFFFFFF if dim == 2 else 0x1FFFFF)
-        out = out.bitwiseOR(shr(out, n)).bitwiseAND(F.lit(mask))
+    """The inverse: every dim-th bit of a key, from the lowest."""
+    n, out = _KEY_PIECE[dim], None
+    for at in range(0, 64 if dim == 2 else 63, n):
+        part = shl(_looked_up(_squeezes(dim), shr(c, at).bitwiseAND(F.lit((1 << n) - 1))), at // dim)
+        out = part if out is None else out.bitwiseOR(part)
     return out
 
 
@@ -165,13 +190,14 @@ def _decoded(index: Column, level: Column, dim: int) -> Cell:
     return unpacked(found, dim)
 
 
-def successor(q: Cell) -> Cell:
-    """Next cell of the same level in Morton order."""
-    return _decoded(linear_id(q, q.level) + 1, q.level, q.dim)
+def successor(q: Cell, index: Column | None = None) -> Cell:
+    """Next cell of the same level in Morton order. index: the next cell's, if it is at hand as a column."""
+    return _decoded(linear_id(q, q.level) + 1, q.level, q.dim) if index is None else from_linear_id(index, q.level, q.dim)
 
 
-def predecessor(q: Cell) -> Cell:
-    return _decoded(linear_id(q, q.level) - 1, q.level, q.dim)
+def predecessor(q: Cell, index: Column | None = None) -> Cell:
+    """Previous cell of the same level in Morton order. index: the previous cell's, if it is at hand as a column."""
+    return _decoded(linear_id(q, q.level) - 1, q.level, q.dim) if index is None else from_linear_id(index, q.level, q.dim)
 
 
 def seed(q: Cell, tree=None) -> Column:

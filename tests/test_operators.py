@@ -449,3 +449,14 @@ def test_bounds_ahead_of_octants(spark):
     found = search.bound(leaves.select(*[c for c in leaves.columns if c != "gid"], F.col("gid").alias("want")), leaves.where("gid % 7 = 3"), 3)
     assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
     assert {r["want"]: r["bound"] for r in found.collect()} == {w: next((g for g in range(w, 64) if g % 7 == 3), None) for w in range(64)}
+
+
+def test_an_index_names_its_coordinates_a_few_times(spark):
+    """Plans grow with every mention: 32 for each coordinate made the cell functions slow to plan and to run."""
+    q = Q.Cell((F.col("east"), F.col("north")), F.lit(30))
+    assert str(Q.linear_id(q, 30)).count("east") <= 4 and str(Q.from_linear_id(F.col("east"), 30).xyz[0]).count("east") <= 8
+    big = [(0, 0), (SIDE - 1, 0), (SIDE - 1, SIDE - 1), (0x2AAAAAAA, 0x15555555)]
+    got = spark.createDataFrame(big, "east long, north long").select("east", "north", Q.linear_id(q, 30).alias("id"), *Q.columns(Q.successor(q))).collect()
+    assert [r["id"] for r in got] == [interleave(v, 30) for v in big]
+    back = spark.createDataFrame([(interleave(v, 30),) for v in big], "id long").select(*Q.columns(Q.from_linear_id(F.col("id"), 30)))
+    assert [(r["x"], r["y"]) for r in back.collect()] == big
