@@ -460,3 +460,13 @@ def test_an_index_names_its_coordinates_a_few_times(spark):
     assert [r["id"] for r in got] == [interleave(v, 30) for v in big]
     back = spark.createDataFrame([(interleave(v, 30),) for v in big], "id long").select(*Q.columns(Q.from_linear_id(F.col("id"), 30)))
     assert [(r["x"], r["y"]) for r in back.collect()] == big
+
+
+def test_an_octant_index_names_its_coordinates_a_few_times(spark):
+    q = Q.Cell((F.col("east"), F.col("north"), F.col("up")), F.lit(21))
+    assert str(Q.linear_id(q, 21)).count("east") <= 3 and str(Q.from_linear_id(F.col("east"), 21, 3).xyz[0]).count("east") <= 7
+    big = [tuple(v << 9 for v in t) for t in [(0, 0, 0), ((1 << 21) - 1,) * 3, (0x155555, 0xAAAAA, 1), (0, (1 << 21) - 1, 1 << 20)]]
+    frame = spark.createDataFrame(big, "east long, north long, up long").withColumn("id", Q.linear_id(q, 21))
+    got = frame.select("id", *Q.columns(Q.from_linear_id(F.col("id"), 21, 3)), *Q.columns(Q.predecessor(q, F.col("id")), "same_")).collect()
+    assert [r["id"] for r in got] == [interleave(v, 21) for v in big]
+    assert [(r["x"], r["y"], r["z"]) for r in got] == big == [(r["same_x"], r["same_y"], r["same_z"]) for r in got]
