@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quadrant as Q
 from ..plans.lineage import cut, filled
-from .forest import Forest, containing, key_names, levels_of, sort_keys
+from .forest import Forest, containing, joinable, key_names, level_counts, levels_of, sort_keys
 
 
 def locate(points: DataFrame, leaves: DataFrame, dim: int = 2) -> DataFrame:
@@ -87,20 +87,33 @@ def branches_and_leaves(forest: Forest) -> DataFrame:
     return b.join(n, "level", "full").select("level", F.coalesce("branches", F.lit(0)).alias("branches"), F.coalesce("leaves", F.lit(0)).alias("leaves"))
 
 
-def search(forest: Forest, queries: DataFrame, match: Callable[[DataFrame], Column], order: Column | None = None, owner_cuts: DataFrame | None = None) -> DataFrame:
+def search(forest: Forest, queries: DataFrame, match: Callable[[DataFrame], Column], order: Column | None = None, owner_cuts: DataFrame | None = None, alike: tuple[str, ...] = ()) -> DataFrame:
     """Leaves that queries reach top-down: every query starts at the root of its `tree` and goes on into the children of cells that match.
 
     queries: tree and any columns but the cell's. match sees the query's columns and the cell's (x, y[, z], level, is_leaf), and has to hold for every
     cell that contains a matching leaf. Returns the queries' columns and the leaf's keys (and `owner`, with owner_cuts from positions(); and
     sort key `visit` by `order`). All queries advance level by level; a branch that no query matches is never expanded.
+    alike: the only columns that match and order look at. Queries that are equal in these are searched once, and all get what it finds.
     """
     dim, keys = forest.dim, forest.keys
+    if alike:
+        kinds = cut(queries.select("tree", *alike).distinct().withColumn("__kind", F.monotonically_increasing_id()))
+        same = functools.reduce(lambda a, b: a & b, [queries[c].eqNullSafe(kinds[c]) for c in ("tree", *alike)])
+        # a number of tasks of its own: few rows come in, but a row goes out for each query and leaf
+        n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        every = queries.join(kinds.hint("merge"), same).select(*[queries[c] for c in queries.columns], "__kind").repartition(n, "__kind")
+        found = search(forest, kinds, match, order, owner_cuts).drop("tree", *alike).repartition(n, "__kind")
+        rest = [c for c in found.columns if c != "__kind"]
+        return found.join(every.hint("merge"), "__kind").select("tree", *[c for c in queries.columns if c != "tree"], *rest)
     nodes = cut(forest.internal().withColumn("is_leaf", F.lit(False)).unionByName(forest.leaves.select(*keys).withColumn("is_leaf", F.lit(True))))
+    counts, tasks = level_counts(nodes), int(forest.spark.conf.get("spark.sql.shuffle.partitions"))
     own = [c for c in queries.columns if c != "tree"]
     front = queries.withColumns({a: F.lit(0).cast("long") for a in Q.axes(dim)}).withColumn("level", F.lit(0))
     found = []
     for level in range(Q.QMAX + 1):
-        seen = cut(front.join(nodes.where(f"level = {level}"), keys).transform(lambda d: d.where(F.coalesce(match(d), F.lit(False)))))
+        front = front.repartition(tasks)  # a few rows in one file grow by each level
+        here = joinable(nodes.where(f"level = {level}"), counts.get(level, 0))
+        seen = cut(front.join(here, keys).transform(lambda d: d.where(F.coalesce(match(d), F.lit(False)))))
         found.append(seen.where("is_leaf").drop("is_leaf"))
         going = seen.where("not is_leaf").drop("is_leaf")
         if going.isEmpty():

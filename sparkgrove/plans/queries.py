@@ -236,7 +236,7 @@ def disc_search(spark, sf_dir):
             out = out + gap * gap
         return out <= 250 * 250
 
-    return search.search(event_forest(spark, sf_dir), discs, near).select("s_suppkey", "level", _grid("x"), _grid("y"))
+    return search.search(event_forest(spark, sf_dir), discs, near, alike=("px", "py")).select("s_suppkey", "level", _grid("x"), _grid("y"))
 
 
 @query(f"WITH {_LEAF}, c AS (SELECT o_orderkey, (o_orderkey * 2654435761) % 4096 AS px, (o_custkey * 40503) % 4096 AS py FROM orders) SELECT o_orderkey, (SELECT max(gid) FROM leaf WHERE {_m('x', 'y')} <= {_m('px', 'py')} AND NOT ({_m('x', 'y')} = {_m('px', 'py')} AND level > 12)) AS bound FROM c")

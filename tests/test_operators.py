@@ -444,6 +444,22 @@ def test_bounds_ahead_read_each_row_once(spark):
     assert len(got) == 21 and all(b == (w if w % 2 == 0 else w + 1 if w < 63 else None) for w, b in got)
 
 
+def test_alike_queries_are_searched_once(spark):
+    f = Forest.uniform(spark, T.unit(2), 3)
+    asked = spark.createDataFrame([(i, 0, None if i % 5 == 4 else i % 5) for i in range(40)], "k long, tree long, to int")
+    seen = []
+
+    def match(d):
+        seen.append(set(d.columns))
+        return Q.shr(F.col("x"), 27) <= F.coalesce("to", F.lit(0))
+
+    plain = sorted(search.search(f, asked, match).select("k", "to", "x", "y", "level").collect(), key=str)
+    seen.clear()
+    got = search.search(f, asked, match, alike=("to",))
+    assert sorted(got.select("k", "to", "x", "y", "level").collect(), key=str) == plain and len(plain) == 8 * 8 * (1 + 2 + 3 + 4 + 1)
+    assert not any("k" in s for s in seen)
+
+
 def test_bounds_ahead_of_octants(spark):
     leaves = cut(Forest.uniform(spark, T.unit(3), 2).numbered())
     found = search.bound(leaves.select(*[c for c in leaves.columns if c != "gid"], F.col("gid").alias("want")), leaves.where("gid % 7 = 3"), 3)
