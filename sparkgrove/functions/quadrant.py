@@ -184,20 +184,32 @@ def from_linear_id128(id_: Column, level) -> Cell:
     return Cell(tuple(shl(_squeeze(ushr(id_["lo"].bitwiseAND(F.lit((1 << 63) - 1)), i), 3).bitwiseOR(shl(_squeeze(ushr(high, i), 3), 21)), n) for i in range(3)), _int(level))
 
 
-def _decoded(index: Column, level: Column, dim: int) -> Cell:
-    """from_linear_id() with the index computed once: otherwise every bit of the result would repeat its whole expression."""
-    found = F.get(F.transform(F.array(index), lambda v: packed(from_linear_id(v, level, dim))), 0)
-    return unpacked(found, dim)
+def _stepped(q: Cell, on: bool) -> Cell:
+    """The next (on) or previous cell of the same level, from coordinates alone.
+
+    One more flips the lowest bits of the index up to its first 0, one less up to its first 1. That bit is at place k of some axis: axes up
+    to this one flip their bits 0 to k, those behind it 0 to k - 1.
+    """
+    n = F.lit(MAX) - _int(q.level)
+    v = [shr(c, n) for c in q.xyz]
+    full = [v[0] if on else F.bitwise_not(v[0])]  # ones at the places that flip in all axes up to each
+    for c in v[1:]:
+        full.append(full[-1].bitwiseAND(c if on else F.bitwise_not(c)))
+    flip = F.when(full[-1] != -1, full[-1].bitwiseXOR(full[-1] + 1))
+    out = [v[0].bitwiseXOR(flip)]
+    for c, ones in zip(v[1:], full):
+        out.append(c.bitwiseXOR(F.when(ones.bitwiseAND(flip) == flip, flip).otherwise(shr(flip, 1))))
+    return Cell(tuple(shl(c, n) for c in out), _int(q.level))
 
 
 def successor(q: Cell, index: Column | None = None) -> Cell:
-    """Next cell of the same level in Morton order. index: the next cell's, if it is at hand as a column."""
-    return _decoded(linear_id(q, q.level) + 1, q.level, q.dim) if index is None else from_linear_id(index, q.level, q.dim)
+    """Next cell of the same level in Morton order, behind the last one the root's neighbour along x. index: the next cell's, to be decoded instead."""
+    return _stepped(q, True) if index is None else from_linear_id(index, q.level, q.dim)
 
 
 def predecessor(q: Cell, index: Column | None = None) -> Cell:
-    """Previous cell of the same level in Morton order. index: the previous cell's, if it is at hand as a column."""
-    return _decoded(linear_id(q, q.level) - 1, q.level, q.dim) if index is None else from_linear_id(index, q.level, q.dim)
+    """Previous cell of the same level in Morton order; null before the first. index: the previous cell's, to be decoded instead."""
+    return _stepped(q, False) if index is None else from_linear_id(index, q.level, q.dim)
 
 
 def seed(q: Cell, tree=None) -> Column:

@@ -83,13 +83,10 @@ def kin(spark, sf_dir, dim: int) -> DataFrame:
     """Sibling, child, descendants, successor, predecessor and index of cells, and the level of the common ancestor with the turned cell."""
     frame, q = cells(spark, sf_dir, dim)
     axes, last = NAMES[:dim], (1 << dim) - 1
-    # an index is a column before its bits are taken apart, so that it is computed once
-    frame = frame.withColumn("id", Q.linear_id(q, q.level)).withColumns({"after": F.col("id") + 1, "before": F.col("id") - 1})
-    back = Q.predecessor(q, F.col("before"))
-    parts = [("sib", Q.sibling(q, last)), ("kid", Q.child(q, 1)), ("first", Q.first_descendant(q, F.lit(BITS))), ("last", Q.last_descendant(q, F.lit(BITS))), ("corner", Q.corner_descendant(q, last - 1, F.lit(BITS))), ("next", Q.successor(q, F.col("after")))]
+    frame = frame.withColumn("id", Q.linear_id(q, q.level))
+    parts = [("sib", Q.sibling(q, last)), ("kid", Q.child(q, 1)), ("first", Q.first_descendant(q, F.lit(BITS))), ("last", Q.last_descendant(q, F.lit(BITS))), ("corner", Q.corner_descendant(q, last - 1, F.lit(BITS))), ("next", Q.successor(q)), ("before", Q.predecessor(q))]
     out = [c for name, cell in parts for c in grid(cell.xyz, [f"{name}_{a}" for a in axes])]
-    before = [F.when(F.col("id") > 0, Q.shr(c, UP)).alias(f"before_{a}") for c, a in zip(back.xyz, axes)]
-    return frame.select("event_id", "id", *out, *before, Q.ancestor_id(q, F.lit(2)).cast("long").alias("child_of_one"), Q.nearest_common_ancestor(q, turn(q)).level.cast("int").alias("shared_level"))
+    return frame.select("event_id", "id", *out, Q.ancestor_id(q, F.lit(2)).cast("long").alias("child_of_one"), Q.nearest_common_ancestor(q, turn(q)).level.cast("int").alias("shared_level"))
 
 
 def kin_sql(dim: int) -> str:

@@ -3,6 +3,7 @@
 import itertools
 import os
 import random
+import re
 import zlib
 
 import pytest
@@ -14,6 +15,7 @@ from sparkgrove.operators import adjacency, nodes, search
 from sparkgrove.operators.adapt import Adaptive, Builder, moved
 from sparkgrove.operators.columns import Columns
 from sparkgrove.operators.forest import Forest, adler_combine, complete_region, next_nonempty, points_forest
+from sparkgrove.plans import registry
 from sparkgrove.plans.lineage import cut, ranked
 from sparkgrove.sources import meshfiles, sections
 from sparkgrove.sources import topology as T
@@ -486,3 +488,26 @@ def test_an_octant_index_names_its_coordinates_a_few_times(spark):
     got = frame.select("id", *Q.columns(Q.from_linear_id(F.col("id"), 21, 3)), *Q.columns(Q.predecessor(q, F.col("id")), "same_")).collect()
     assert [r["id"] for r in got] == [interleave(v, 21) for v in big]
     assert [(r["x"], r["y"], r["z"]) for r in got] == big == [(r["same_x"], r["same_y"], r["same_z"]) for r in got]
+
+
+@pytest.mark.parametrize("dim", [2, 3])
+def test_next_and_previous_cells(spark, dim):
+    """From coordinates alone, so at every level; null before the first cell, and behind the last the root's neighbour along x."""
+    axes, corner = Q.axes(dim), lambda level: ((1 << 30) - ln(level),) * dim
+    cells = some_cells(dim, 200, 29, 8) + [(*(0,) * dim, k) for k in (0, 1, 21, 29)] + [(*corner(k), k) for k in (0, 1, 21, 29)]
+    cells += [(*(c if keep >> i & 1 else 0 for i, c in enumerate(corner(k))), k) for k in (4, 22, 29) for keep in range(1 << dim)]
+    df = spark.createDataFrame(cells, ", ".join(f"{a} long" for a in axes) + ", level int")
+    q = Q.cell(dim)
+    for r in df.select(*axes, "level", Q.packed(Q.successor(q)).alias("after"), Q.packed(Q.predecessor(q)).alias("before")).collect():
+        level, at = r["level"], interleave([r[a] for a in axes], r["level"])
+        place = lambda k: tuple(sum((k >> dim * b + i & 1) << b for b in range(31)) * ln(level) for i in range(dim))  # noqa: B023, E731
+        assert tuple(r["after"][a] for a in axes) == place(at + 1) and r["after"]["level"] == r["before"]["level"] == level
+        assert tuple(r["before"][a] for a in axes) == (place(at - 1) if at else (None,) * dim)
+
+
+@pytest.mark.parametrize("name", ["cell_kin", "cell_kin_3d"])
+def test_kin_fits_the_compiler(spark, name):
+    """The JVM interprets methods of more than 8,000 bytes for ever, ten times slower."""
+    df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
+    assert 0 < max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", plan)) < 8000
