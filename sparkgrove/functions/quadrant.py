@@ -219,9 +219,17 @@ def seed(q: Cell, tree=None) -> Column:
 
 # --- order and containment -------------------------------------------------------------------------------------------
 def compare(a: Cell, b: Cell) -> Column:
-    """-1, 0 or 1: Morton order, then level."""
-    x, y = F.struct(morton(a).alias("m"), a.level.alias("l")), F.struct(morton(b).alias("m"), b.level.alias("l"))
-    return F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
+    """-1, 0 or 1: Morton order, then level. The axis with the highest bit that differs decides, the last of those that share it; no key is made.
+
+    Coordinates outside the root wrap as in morton().
+    """
+    sides = [(x.bitwiseAND(F.lit((1 << 31) - 1)), y.bitwiseAND(F.lit((1 << 31) - 1))) for x, y in zip(a.xyz, b.xyz)]
+    seen, out = None, None
+    for x, y in sides:
+        differs, order = x.bitwiseXOR(y), F.when(x < y, -1).otherwise(1)
+        seen = differs if seen is None else seen.bitwiseOR(differs)
+        out = order if out is None else F.when(seen.bitwiseXOR(differs) <= differs, order).otherwise(out)
+    return F.when(seen == 0, F.signum(a.level - b.level).cast("int")).when(seen.isNotNull(), out)
 
 
 def disjoint(a: Cell, b: Cell) -> Column:
@@ -229,11 +237,13 @@ def disjoint(a: Cell, b: Cell) -> Column:
     return F.when(overlaps(a, b), 0).otherwise(compare(a, b))
 
 
+def _differs(a: Cell, b: Cell) -> Column:
+    """Bits in which coordinates differ: one value to compare takes fewer bytes of generated code than a chain of conditions."""
+    return functools.reduce(Column.bitwiseOR, [x.bitwiseXOR(y) for x, y in zip(a.xyz, b.xyz)])
+
+
 def is_equal(a: Cell, b: Cell) -> Column:
-    out = a.level == b.level
-    for x, y in zip(a.xyz, b.xyz):
-        out = out & (x == y)
-    return out
+    return _differs(a, b).bitwiseOR(_long(a.level).bitwiseXOR(_long(b.level))) == 0
 
 
 def ancestor(q: Cell, level) -> Cell:
@@ -318,12 +328,7 @@ def corner_descendant(q: Cell, corner: int, level=QMAX) -> Cell:
 
 def is_next(a: Cell, b: Cell) -> Column:
     """Does b follow a directly in Morton order, whatever its size?"""
-    if a.dim == 2:
-        return morton(b) == morton(last_descendant(a)) + shl(1, a.dim * (MAX - QMAX))
-    x, y = morton(last_descendant(a)), morton(b)
-    step = 1 << a.dim * (MAX - QMAX)
-    carry = (x["lo"] + step) >= (1 << 45)
-    return (y["hi"] == x["hi"] + carry.cast("long")) & (y["lo"] == F.when(carry, F.lit(0)).otherwise(x["lo"] + step))
+    return _differs(successor(a), b) == 0
 
 
 def is_first_last(first: Cell, last: Cell, q: Cell) -> Column:
@@ -336,7 +341,7 @@ def enlarge_first(q: Cell, lowest) -> Cell:
     low = F.lit(0).cast("long")
     for c in q.xyz:
         low = low.bitwiseOR(c)
-    free = F.when(low == 0, F.lit(MAX)).otherwise(F.length(F.bin(low.bitwiseAND(-low))) - 1)  # trailing zeros
+    free = F.bit_count(low.bitwiseAND(-low) - 1)  # trailing zeros; 64 of 0
     return Cell(q.xyz, F.least(q.level, F.greatest(F.lit(MAX) - free, _int(lowest))).cast("int"))
 
 

@@ -505,8 +505,8 @@ def test_next_and_previous_cells(spark, dim):
         assert tuple(r["before"][a] for a in axes) == (place(at - 1) if at else (None,) * dim)
 
 
-@pytest.mark.parametrize("name", ["cell_kin", "cell_kin_3d"])
-def test_kin_fits_the_compiler(spark, name):
+@pytest.mark.parametrize("name", ["cell_kin", "cell_kin_3d", "cell_relations", "cell_relations_3d"])
+def test_cell_queries_fit_the_compiler(spark, name):
     """The JVM interprets methods of more than 8,000 bytes for ever, ten times slower."""
     df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
     plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
